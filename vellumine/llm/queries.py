@@ -11,6 +11,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the path is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumine.llm.token_store import token_store
+
+    return token_store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumine.llm.bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumine.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumine.llm.exact_dedup import exact_duplicates
 
