@@ -18,12 +18,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumine.llm.language_id import identify_languages, language_model
+
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, language_model(docs))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumine.llm.token_store import token_store
 
     return token_store(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellumine.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumine.llm.bpe import bpe_digests
 
