@@ -68,6 +68,7 @@ class WordBpe:
         self.inner = np.array([self.vocabulary[x] for x in letters], np.int64)
         self.last = np.array([self.vocabulary[x + self.end] for x in letters], np.int64)
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left * self.size + right
@@ -165,6 +166,8 @@ class WordBpe:
 
     def learn(self, units: set[str]) -> None:
         """Put units' ids, their number and their decoded form into the cache."""
+        known = units & self.old.keys()
+        self.cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
         new = list(units - self.cache.keys())
         if new:
             for unit, ids in zip(new, self.units(new), strict=True):
@@ -196,7 +199,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         for batch in batches:
             texts = [word_units(x or "") for x in batch.column("text").to_pylist()]
             if len(model.cache) > CACHE_UNITS:
-                model.cache.clear()
+                model.old, model.cache = model.cache, {}
             model.learn(set().union(*texts))
             counts, ids, back = [], [], []
             get = model.cache.__getitem__

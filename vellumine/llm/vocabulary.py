@@ -12,8 +12,11 @@ import re
 from array import array
 from collections.abc import Iterable
 
-#: Units that a worker's cache holds; beyond it the cache starts anew.
-CACHE_UNITS = 800_000
+import numpy as np
+
+#: Units that a worker's cache holds; beyond it a new one begins, which takes what
+#: is still asked for from the old one.
+CACHE_UNITS = 250_000
 #: Longer units are encoded each time; they hardly recur.
 UNIT_CHARS = 64
 
@@ -22,6 +25,7 @@ _KEPT: dict[tuple[str, str], "Encoder"] = {}
 #: pattern joins to them.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = (".", ",", ";", ":", "!", "?")
+_AT_ONCE = 500
 #: Characters that Python, but not Unicode, counts as white space.
 PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -37,6 +41,9 @@ def word_units(text: str) -> list[str]:
 class Encoder:
     """``ids(texts)``: each text's ids as little-endian unsigned 32-bit bytes."""
 
+    #: Where the first token of a word, or the last, can be told by its spelling.
+    first_mark = last_mark = ""
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -44,11 +51,36 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.cache: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.marks = dict(zip(_MARKS, self.direct(_MARKS), strict=True))
+        vocabulary = self.library.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith(self.first_mark) and token.endswith(self.last_mark)
 
     def direct(self, texts: Iterable[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, many in one call.
+
+        A word of letters is one match of the pattern, so its tokens are told
+        from its neighbours' by the edge they show. Should the edges not add up,
+        the words are encoded one by one.
+        """
+        out: list[bytes] = []
+        for i in range(0, len(words), _AT_ONCE):
+            own = words[i : i + _AT_ONCE]
+            ids = self.library.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids
+            raw = array("I", ids).tobytes()
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(own):
+                out += self.direct(" " + x for x in own)
+                continue
+            cuts = (4 * at).tolist() + [len(raw)] if self.first_mark else [0, *(4 * at + 4).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def cut(self, text: str) -> list[str]:
         """Keys of the text's units."""
         raise NotImplementedError
@@ -57,29 +89,30 @@ class Encoder:
         """What to encode for a key; None if its text has to stay whole."""
         raise NotImplementedError
 
-    def stem(self, key: str) -> tuple[str, bytes]:
-        """A key, and the ids of a mark, that together have the ids of ``key``."""
-        if key[-1:] in self.marks and _LETTERS.fullmatch(key, 0, len(key) - 1):
-            return key[:-1], self.marks[key[-1]]
-        return key, b""
-
     def learn(self, keys: set[str]) -> set[str]:
         """Have ids of all keys in the cache; returns those that were new."""
-        new = keys - self.cache.keys()
-        stems = {x: self.stem(x) for x in new}
-        spelled = {x: self.spelled(x) for x in {x for x, _ in stems.values()} - self.cache.keys()}
-        plain = [x for x, y in spelled.items() if y is not None]
-        self.cache.update(dict.fromkeys(spelled))
-        self.cache.update(zip(plain, self.direct(spelled[x] for x in plain), strict=True))
-        for x, (stem, mark) in stems.items():
-            if x != stem:
-                self.cache[x] = self.cache[stem] + mark
+        cache, marks = self.cache, self.marks
+        new = keys - cache.keys()
+        known = new & self.old.keys()
+        cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        new -= known
+        marked = [x for x in new if x[-1:] in marks and _LETTERS.fullmatch(x, 0, len(x) - 1)]
+        need = new.difference(marked)
+        need.update({x[:-1] for x in marked} - cache.keys())
+        words = [x for x in need if x.isalpha()]
+        cache.update(zip(words, self.letters(words), strict=True))
+        rest = {x: self.spelled(x) for x in need if not x.isalpha()}
+        plain = [x for x, y in rest.items() if y is not None]
+        cache.update(dict.fromkeys(rest))
+        cache.update(zip(plain, self.direct(rest[x] for x in plain), strict=True))
+        for x in marked:
+            cache[x] = cache[x[:-1]] + marks[x[-1]]
         return new
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(x) for x in texts]
         if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         new = self.learn(set().union(*cut))
         get, out, whole = self.cache.__getitem__, [], []
         for i, x in enumerate(cut):
@@ -99,16 +132,21 @@ class Encoder:
 class WordEncoder(Encoder):
     """For vocabularies that drop white space and case: every word is a unit."""
 
+    last_mark = "</w>"
+
     def cut(self, text: str) -> list[str]:
+        """Words, in lower case already where that can't change what else is done."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return word_units(text.lower())
+            except UnicodeEncodeError:
+                pass
         return word_units(text)
 
     def spelled(self, key: str) -> str:
         return key
 
-    def stem(self, key: str) -> tuple[str, bytes]:
-        key, mark = super().stem(key)
-        return key.lower() if key.isascii() and "<" not in key else key, mark
-
 
 class ByteEncoder(Encoder):
     """For byte-level vocabularies that attach one space to the next word.
@@ -121,6 +159,8 @@ class ByteEncoder(Encoder):
     whole.
     """
 
+    first_mark = "\u0120"
+
     def cut(self, text: str) -> list[str]:
         if not text:
             return []
