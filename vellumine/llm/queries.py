@@ -49,6 +49,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from vellumine.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, least=Fraction(85, 100))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellumine.llm.packing import pack_documents
 
