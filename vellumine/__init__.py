@@ -1 +1 @@
-"""Part of the engine."""
+"""A Spark engine for collections of Markdown documents with typed metadata."""
