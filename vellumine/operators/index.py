@@ -114,9 +114,7 @@ class Index:
         now = docs.select("path", content_hash("content").alias("hash"))
         if not self.exists():
             return now.select("path", F.lit("new").alias("status"), F.lit(None).cast("string").alias("file_id"), "hash")
-        old = self.file_index().withColumnRenamed("filepath", "old_path")
-        status = F.when(F.col("old_path").isNull(), "new").when(F.col("path").isNull(), "removed").when(F.col("hash") == F.col("content_hash"), "unchanged").otherwise("edited")
-        return now.join(old, now["path"] == old["old_path"], "full_outer").select(F.coalesce("path", "old_path").alias("path"), status.alias("status"), "file_id", "hash")
+        return classified(now, self.file_index())
 
     def build(self, docs: DataFrame, config: Config, force: bool = False) -> BuildResult:
         """Bring the index up to date with ``docs``."""
@@ -148,8 +146,7 @@ class Index:
         rows = with_metadata(rows, docs, fields)
         rows.write.parquet(f"{target}/chunks")
         rows = self.spark.read.parquet(f"{target}/chunks")
-        post = rows.select("chunk_id", terms(F.col("chunk_text")).alias("terms")).select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-        post.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{target}/postings")
+        postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{target}/postings")
         sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col("chunk_text")))).alias("length")).first()
         before = self.metadata()["snapshot"] if self.exists() else None
         meta = {"snapshot": snapshot, "provider": model.provider, "model": model.name, "revision": model.revision, "dimension": dimension, "chunk_size": most, "glob": config.scan.glob, "built_at": built_at.isoformat(), "schema_hash": schema_hash(fields), "fields": fields, "chunks": sums.n, "mean_length": sums.length or 0.0}
@@ -162,6 +159,19 @@ class Index:
         return BuildResult(snapshot, get("new"), get("edited"), get("unchanged"), get("removed"), embedded, sums.n, full)
 
 
+def postings(rows: DataFrame) -> DataFrame:
+    """(term, chunk_id, length, tf) of (chunk_id, chunk_text)."""
+    cut = rows.select("chunk_id", terms(F.col("chunk_text")).alias("terms")).select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return cut.groupBy("term", "chunk_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def classified(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(path, hash) against (filepath, file_id, content_hash): what became of each file."""
+    old = before.withColumnRenamed("filepath", "old_path")
+    status = F.when(F.col("old_path").isNull(), "new").when(F.col("path").isNull(), "removed").when(F.col("hash") == F.col("content_hash"), "unchanged").otherwise("edited")
+    return now.join(old, now["path"] == old["old_path"], "full_outer").select(F.coalesce("path", "old_path").alias("path"), status.alias("status"), "file_id", "hash")
+
+
 _EMBEDDED = "chunk_id string, file_id string, chunk_index int, start_line int, end_line int, chunk_text string, embedding array<float>, filepath string, content_hash string"
 
 
