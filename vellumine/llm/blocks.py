@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from vellumine.llm.common import Scratch, keyed_side
 
 
-def cells(entries: DataFrame, keys: list[str], member: str, block: int, scratch: Scratch, label: str) -> DataFrame:
+def cells(entries: DataFrame, keys: list[str], member: str, block: int, scratch: Scratch, label: str, weight: str | None = None, spread: int = 1, fine: int = 1) -> DataFrame:
     """``entries`` with ``cell`` (long), ``own`` and ``other`` (block numbers).
 
     Rows of a cell with ``own == other`` meet one another; in other cells rows of
-    different ``own`` meet.
+    different ``own`` meet. A block has about ``block`` rows, or so much of ``weight``;
+    a smaller bucket is dealt to at most ``spread`` blocks, of ``fine`` at least.
     """
-    large = scratch.write(entries.groupBy(*keys).count().where(F.col("count") > block).select(*keys, F.ceil(F.col("count") / block).cast("int").alias("blocks")), label)
+    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    large = scratch.write(entries.groupBy(*keys).agg(total.alias("total")).select(*keys, F.greatest(F.ceil(F.col("total") / block), F.least(F.lit(spread), F.ceil(F.col("total") / fine))).cast("int").alias("blocks")).where("blocks > 1"), label)
     dealt = entries.join(keyed_side(large), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member, F.lit(1)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")

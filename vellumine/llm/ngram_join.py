@@ -7,11 +7,13 @@ group, which goes into the index once. Pairs of groups that share prefix entries
 are filtered by size and by how many they would have to share; what is left is
 expanded to members and compared in full.
 
-A very common prefix entry would pair all documents that have it. As the result
-is components, such a bucket first links its members to one of their own; only
-members that are then still in different components are paired. So are the
-members of a group. Comparisons stream: a document is followed by those it is
-compared with, in salted parts, and nothing is held but its own set.
+A very common prefix entry would pair all documents that have it. Such documents
+are compared in blocks by counts of their n-grams' hash classes, which bound what
+two sets can share; only pairs that this can't rule out are candidates. As the
+result is components, each document is first compared with one candidate; only
+pairs that are then still in different components are compared at all. First comparisons stream: a document is followed by those it
+is compared with, in salted parts, and nothing is held but its own set. Later
+ones, which may be dense, go to cells of two blocks of documents.
 """
 
 from __future__ import annotations
@@ -26,20 +28,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.blocks import runs
+from vellumine.llm.blocks import cells, runs, whole_runs
 from vellumine.llm.common import Scratch, arrow_type, byte_texts, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
 from vellumine.llm.components import connected_components
 from vellumine.llm.shingles import shingle_sets
 
 #: N-grams that go last in the order at most (their number only steers how much
 #: work there is), and from which count on.
-COMMON, COMMON_FROM = 400_000, 16
+COMMON, COMMON_FROM = 1_000_000, 16
+#: How much more of a document than its prefix is counted, as common n-grams that
+#: leave a prefix make room for others.
+AHEAD = 1.25
 #: N-grams that a task counts at a time.
 COUNTED = 2_000_000
 #: Members of a bucket that are paired directly.
-PAIRED = 16
+PAIRED = 32
 #: Documents that follow one they are compared with in a part.
 FOLLOWERS = 256
+#: Documents of a block where pairs may be dense; a task holds two blocks' sets.
+BLOCK = 512
+#: Classes of n-grams by hash that are counted where all of a block's documents
+#: may be similar, and n-grams of such a block (16 MB are two blocks).
+COUNTERS, DENSE_BLOCK = 256, 1_000_000
+#: A smaller cluster is dealt to so many blocks of so many n-grams, for tasks to share.
+SPREAD, FINE = 4, 64_000
 #: Working columns beside an input's own.
 _FP, _KEEP = "__vellumine_fp", "__vellumine_keep"
 
@@ -53,39 +65,39 @@ def _needed(size: np.ndarray, least: Fraction) -> np.ndarray:
     return -(-size * least.numerator // least.denominator)
 
 
-def _prefix_size(size: Column, least: Fraction) -> Column:
-    return size - _up(size, least) + 1
-
-
 def _up(size: Column, share: Fraction) -> Column:
     """``size * share``, rounded up."""
     return F.floor((size * F.lit(share.numerator) + F.lit(share.denominator - 1)) / F.lit(share.denominator)).cast("long")
 
 
-def _common(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, n: int, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of many documents, ascending, and their level (log2 of the count).
 
-    N-grams that occur twice or more among some two million of a task are
-    summed; of the sums, those of at least ``COMMON_FROM`` and of the highest
-    levels that together are at most ``COMMON``. The join is exact with any
-    such list.
+    Every n-gram that can come first in some document is counted in all of those;
+    of others, those that occur twice or more among some two million of a task.
+    Kept are those of at least ``COMMON_FROM`` and of the highest levels that
+    together are at most ``COMMON``. The join is exact with any such list.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        first, later, size = [], [], 0
 
-        def give() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(signed(values[counts > 1])), pa.array(counts[counts > 1])], ["token", "c"])
+        def give() -> Iterator[pa.RecordBatch]:
+            for held, from_count in ((first, 1), (later, 2)):
+                values, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(values[counts >= from_count])), pa.array(counts[counts >= from_count])], ["token", "c"])
 
         for batch in batches:
             for x in _sets(batch, "text", n):
-                held.append(x)
-                size += len(x)
+                if len(x):
+                    cut = int((len(x) - int(_needed(np.int64(len(x)), least)) + 1) * AHEAD)
+                    first.append(x[:cut])
+                    later.append(x[cut:])
+                    size += len(x)
                 if size > COUNTED:
-                    yield give()
-                    held, size = [], 0
-        yield give()
+                    yield from give()
+                    first, later, size = [], [], 0
+        yield from give()
 
     scratch = Scratch(rows.sparkSession, "ngram-common")
     counted = rows.select("text").mapInArrow(step, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_FROM)
@@ -172,24 +184,24 @@ def _bucket_pairs(least: Fraction):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(gid[a]), pa.array(gid[b]), pa.array(size[a]), pa.array(size[b])], names)
 
         for batch in batches:
-            token, gid, size = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("token", "gid", "n"), strict=True))
+            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("token", "gid", "n"), strict=True)]
             if large is not None:
-                cut = int(np.searchsorted(token, large, side="right"))
+                cut = int(np.searchsorted(rows[0], large, side="right"))
                 if cut:
-                    yield passed(token[:cut], gid[:cut], size[:cut])
-                token, gid, size = token[cut:], gid[cut:], size[cut:]
-            if not len(token):
-                held = [token, gid, size]
+                    yield passed(*(x[:cut] for x in rows))
+                rows = [x[cut:] for x in rows]
+            if not len(rows[0]):
+                held = rows
                 continue
             large = None
-            cut = int(np.searchsorted(token, token[-1], side="left"))
-            yield from paired(token[:cut], gid[:cut], size[:cut])
-            token, gid, size = token[cut:], gid[cut:], size[cut:]
-            if len(token) > PAIRED:
-                large = int(token[0])
-                yield passed(token, gid, size)
-                token, gid, size = token[:0], gid[:0], size[:0]
-            held = [token, gid, size]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            yield from paired(*(x[:cut] for x in rows))
+            rows = [x[cut:] for x in rows]
+            if len(rows[0]) > PAIRED:
+                large = int(rows[0][0])
+                yield passed(*rows)
+                rows = [x[:0] for x in rows]
+            held = rows
         yield from paired(*held)
 
     return step
@@ -202,6 +214,16 @@ def _least_shared(na: str, nb: str, least: Fraction) -> Column:
     return F.greatest(F.lit(1), overlap - F.greatest(_up(a, least), _up(b, least)) + 1)
 
 
+def _similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(b) * least.denominator < len(a) * least.numerator:
+        return False
+    at = np.searchsorted(a, b)
+    shared = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return shared * least.denominator >= (len(a) + len(b) - shared) * least.numerator
+
+
 def _compared(least: Fraction):
     """From rows sorted by (x, salt, follows): pairs that are similar."""
 
@@ -216,12 +238,7 @@ def _compared(least: Fraction):
                     x, own = leader, values
                     continue
                 assert leader == x
-                low, high = sorted((len(own), len(values)))
-                if low * least.denominator < high * least.numerator:
-                    continue
-                at = np.searchsorted(own, values)
-                shared = int((own[np.minimum(at, len(own) - 1)] == values).sum())
-                if shared * least.denominator >= (low + high - shared) * least.numerator:
+                if _similar(own, values, least):
                     left.append(x)
                     right.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -240,6 +257,108 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, scratch: Scrat
     return scratch.write(dealt.mapInArrow(_compared(least), "a long, b long"), f"{label}-links")
 
 
+def _dense(least: Fraction):
+    """From rows sorted by cell: links that connect what is similar in the cell.
+
+    What two sets share is at most the sum of the smaller counts of each class of
+    hashes; pairs that this rules out, and those already connected, aren't
+    compared.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, "cell"):
+            block, other, cid = (table.column(x).to_numpy() for x in ("own", "other", "cid"))
+            raw, left, right = table.column("tokens"), [], []
+            for start, end in zip(*runs(table.column("cell").to_numpy()), strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in raw.slice(start, end - start).to_pylist()]
+                n = np.array([len(x) for x in sets], np.int64)
+                counts = np.stack([np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for x in sets])
+                counts = counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+                root = np.arange(len(sets))
+                own, cross = block[start:end], (block[start:end] != other[start:end]).any()
+                for k in range(len(sets) - 1):
+                    after = slice(k + 1, None)
+                    ok = (root[after] != root[k]) & (np.minimum(n[after], n[k]) * least.denominator >= np.maximum(n[after], n[k]) * least.numerator)
+                    if cross:
+                        ok &= own[after] != own[k]
+                    at = k + 1 + np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    most = np.minimum(counts[at], counts[k]).sum(axis=1, dtype=np.uint32).astype(np.int64)
+                    for i in at[most * (least.numerator + least.denominator) >= (n[at] + n[k]) * least.numerator].tolist():
+                        if root[i] != root[k] and _similar(sets[i], sets[k], least):
+                            root[root == root[i]] = root[k]
+                            left.append(cid[start + i])
+                            right.append(cid[start + k])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return step
+
+
+def _dense_links(large: DataFrame, members: DataFrame, tokens: DataFrame, least: Fraction, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among members of groups that share very common prefix entries.
+
+    Groups that such entries connect are a cluster; clusters are dealt to cells
+    of two blocks, and a cell gives no more links than it has members.
+    """
+    star = large.join(large.groupBy("token").agg(F.min("gid").alias("b")), "token").select(F.col("gid").alias("a"), "b").distinct()
+    clusters = connected_components(star, scratch, "dense").select(F.col("id").alias("gid"), F.col("component").alias("cluster"))
+    entries = scratch.write(clusters.join(members.select("gid", "cid", "n"), "gid").select("cluster", "cid", "n"), "dense-members")
+    placed = cells(entries, ["cluster"], "cid", DENSE_BLOCK, scratch, "dense-blocks", "n", SPREAD, FINE)
+    dealt = placed.join(tokens, "cid").repartition("cell").sortWithinPartitions("cell")
+    return scratch.write(dealt.select("cell", "own", "other", "cid", "tokens").mapInArrow(_dense(least), "a long, b long"), "dense-links")
+
+
+def _compared_in_cells(least: Fraction):
+    """From rows sorted by (cell, is_pair): similar pairs, without those already connected in their cell."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets, root = None, {}, {}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            left, right = [], []
+            tokens = batch.column("tokens")
+            for i, (at, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "x", "y")), strict=True)):
+                if at != cell:
+                    cell, sets, root = at, {}, {}
+                if y is None:
+                    sets[x], root[x] = np.frombuffer(tokens[i].as_py(), np.uint64), x
+                    continue
+                a, b = top(x), top(y)
+                if a != b and _similar(sets[x], sets[y], least):
+                    root[a] = b
+                    left.append(x)
+                    right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return step
+
+
+def _verified_in_cells(pairs: DataFrame, sets: DataFrame, least: Fraction, scratch: Scratch, label: str) -> DataFrame:
+    """As ``_verified``, for pairs that may be dense.
+
+    Pairs fall into clusters, clusters into blocks, and two blocks make a cell. A
+    set goes to the cells of its pairs, so it moves as often as its cluster has
+    blocks, however many pairs it is in; a task holds two blocks.
+    """
+    pairs = scratch.write(pairs.distinct(), f"{label}-pairs")
+    clusters = connected_components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, f"{label}-clusters")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = scratch.write(clusters.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), f"{label}-blocks")
+    ends = pairs.join(dealt.select(F.col("id").alias("x"), "component", F.col("block").alias("bx")), "x").join(dealt.select(F.col("id").alias("y"), F.col("block").alias("by")), "y")
+    celled = scratch.write(ends.select(F.xxhash64("component", F.least("bx", "by"), F.greatest("bx", "by")).alias("cell"), "x", "y"), f"{label}-cells")
+    members = celled.select("cell", "x").unionByName(celled.select("cell", F.col("y").alias("x"))).distinct().join(sets.withColumnRenamed("cid", "x"), "x")
+    rows = members.select("cell", "x", F.lit(None).cast("long").alias("y"), "tokens").unionByName(celled.select("cell", "x", "y", F.lit(None).cast("binary").alias("tokens")))
+    rows = rows.withColumn("is_pair", F.col("y").isNotNull()).repartition("cell").sortWithinPartitions("cell", "is_pair").select("cell", "x", "y", "tokens")
+    return scratch.write(rows.mapInArrow(_compared_in_cells(least), "a long, b long"), f"{label}-links")
+
+
 def _apart(rows: DataFrame, keys: list[str], least: Fraction) -> DataFrame:
     """Pairs (x, y, nx, ny) of rows (keys, cid, n, comp) of a key and different components.
 
@@ -261,7 +380,7 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
     small_batches(spark)
     scratch = Scratch(spark, "ngrams")
     rows = text_input(docs, id_col, text_col)
-    common = spark.sparkContext.broadcast(_common(rows, n))
+    common = spark.sparkContext.broadcast(_common(rows, n, least))
     sets = scratch.write(_prefixes(rows, n, least, common), "prefixes")
     filled = sets.where("n > 0")
     classes = filled.groupBy("n", "fp", "gkey").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("w"), F.min("id").alias("least"))
@@ -271,11 +390,13 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
 
     index = sets.select(F.col("rid").alias("gid"), "n", "prefix").join(members.where("cid = gid").select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
     met = scratch.write(index.repartition("token").sortWithinPartitions("token").select("token", "gid", "n").mapInArrow(_bucket_pairs(least), "kind int, a long, b long, na long, nb long"), "met", "kind")
-    large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"), F.col("na").alias("n"))
+    large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"))
     in_large = scratch.write(large.groupBy("gid").agg(F.count(F.lit(1)).alias("large")), "in-large")
     shared = met.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    shared = shared.join(in_large.select(F.col("gid").alias("a"), F.col("large").alias("la")), "a", "left").join(in_large.select(F.col("gid").alias("b"), F.col("large").alias("lb")), "b", "left")
-    pairs = scratch.write(shared.where(F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= _least_shared("na", "nb", least)).select("a", "b"), "group-pairs")
+    for x in ("a", "b"):
+        shared = shared.join(in_large.select(F.col("gid").alias(x), F.col("large").alias(f"large_{x}")), x, "left")
+    shared = shared.where(F.col("c") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))) >= _least_shared("na", "nb", least)).select("a", "b")
+    pairs = scratch.write(shared, "group-pairs")
 
     used = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).unionByName(in_large.select("gid")).unionByName(members.where("members > 1").select("gid")).distinct()
     needed = scratch.write(members.join(used, "gid", "left_semi").select("fp", "cid"), "needed")
@@ -296,12 +417,10 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
     tokens = rows.select("text").mapInArrow(told, "fp binary, tokens binary").join(keyed_side(needed), "fp").select("cid", "tokens").dropDuplicates(["cid"])
     tokens = scratch.write(tokens, "tokens")
 
-    size_class = F.floor(F.log("n") / F.lit(-float(np.log(float(least)))))
-    led = large.withColumn("size", size_class).groupBy("token", "size").agg(F.min("gid").alias("x"))
-    led = large.withColumn("size", size_class).join(led, ["token", "size"]).where("gid <> x").groupBy("gid", "x").count().groupBy("gid").agg(F.max(F.struct("count", "x")).alias("top")).select(F.col("top.x").alias("x"), F.col("gid").alias("y"))
     star = pairs.groupBy(F.col("b").alias("y")).agg(F.min("a").alias("x")).select("x", "y")
     inside = members.where("cid <> gid").select(F.col("gid").alias("x"), F.col("cid").alias("y"))
-    links = _verified(led.unionByName(star).unionByName(inside), tokens, least, scratch, "first")
+    dense = _dense_links(large, members, tokens, least, scratch)
+    links = _verified(star.unionByName(inside), tokens, least, scratch, "first").unionByName(dense)
     found = connected_components(links, scratch, "first")
     placed = scratch.write(members.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "members", "n", "fp", F.coalesce("component", "cid").alias("comp")), "placed")
 
@@ -309,13 +428,8 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
     open_pairs = pairs.join(where.select(F.col("gid").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a").join(where.select(F.col("gid").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b").where("not (alo = ahi and alo = blo and alo = bhi)").select("a", "b")
     expanded = open_pairs.join(placed.select(F.col("gid").alias("a"), F.col("cid").alias("x"), F.col("comp").alias("cx")), "a").join(placed.select(F.col("gid").alias("b"), F.col("cid").alias("y"), F.col("comp").alias("cy")), "b").where("cx <> cy").select("x", "y")
     in_groups = _apart(placed.where("members > 1").select("gid", "cid", "n", "comp"), ["gid"], least).select("x", "y")
-    in_buckets = _apart(large.select("token", "gid").join(placed.select("gid", "cid", "n", "comp"), "gid").select("token", "cid", "n", "comp"), ["token"], least)
-    counted = in_buckets.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"))
-    outside = placed.select("cid", "gid", "n").join(in_large, "gid").select("cid", (_prefix_size(F.col("n"), least) - F.col("large")).alias("small"))
-    counted = counted.join(outside.select(F.col("cid").alias("x"), F.col("small").alias("sx")), "x").join(outside.select(F.col("cid").alias("y"), F.col("small").alias("sy")), "y")
-    counted = counted.where(F.col("c") + F.least("sx", "sy") >= _least_shared("nx", "ny", least)).select("x", "y")
-    rest = expanded.unionByName(in_groups).unionByName(counted).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = _verified(rest, tokens, least, scratch, "second")
+    rest = expanded.unionByName(in_groups).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = _verified_in_cells(rest, tokens, least, scratch, "second")
     at = placed.select("cid", "comp")
     between = more.join(at.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = connected_components(between, scratch, "second").select(F.col("id").alias("comp"), "component")
