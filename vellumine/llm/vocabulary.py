@@ -16,7 +16,7 @@ import numpy as np
 
 #: Units that a worker's cache holds; beyond it a new one begins, which takes what
 #: is still asked for from the old one.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 700_000
 #: Longer units are encoded each time; they hardly recur.
 UNIT_CHARS = 64
 
@@ -73,7 +73,7 @@ class Encoder:
             own = words[i : i + _AT_ONCE]
             ids = self.library.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids
             raw = array("I", ids).tobytes()
-            at = np.flatnonzero(self.edge[ids])
+            at = np.flatnonzero(self.edge[np.frombuffer(raw, np.uint32)])
             if len(at) != len(own):
                 out += self.direct(" " + x for x in own)
                 continue
@@ -96,12 +96,14 @@ class Encoder:
         known = new & self.old.keys()
         cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
         new -= known
-        marked = [x for x in new if x[-1:] in marks and _LETTERS.fullmatch(x, 0, len(x) - 1)]
+        marked = [x for x in new if x[-1:] in marks and (x[:-1].isalpha() if x.isascii() else _LETTERS.fullmatch(x, 0, len(x) - 1))]
         need = new.difference(marked)
         need.update({x[:-1] for x in marked} - cache.keys())
-        words = [x for x in need if x.isalpha()]
+        words, others = [], []
+        for x in need:
+            (words if x.isalpha() else others).append(x)
         cache.update(zip(words, self.letters(words), strict=True))
-        rest = {x: self.spelled(x) for x in need if not x.isalpha()}
+        rest = {x: self.spelled(x) for x in others}
         plain = [x for x, y in rest.items() if y is not None]
         cache.update(dict.fromkeys(rest))
         cache.update(zip(plain, self.direct(rest[x] for x in plain), strict=True))
