@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,6 +42,8 @@ class WordBpe:
     """A vocabulary with word ends: lower case, white space dropped."""
 
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as file:
             given = json.load(file)
         model = given["model"]
@@ -52,6 +53,7 @@ class WordBpe:
         self.tokens = {i: x for x, i in self.vocabulary.items()} | {i: x for x, i in self.special.items()}
         pattern = next(x["pattern"]["Regex"] for x in given["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pattern = regex.compile(pattern.replace(r"\s", _SPACE))
+        self.library = Tokenizer.from_file(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         self.size = max(self.tokens) + 1
@@ -138,9 +140,18 @@ class WordBpe:
                 out[i] = x.tolist() if isinstance(x, np.ndarray) else x
         return out
 
-    def normalised(self, text: str) -> str:
-        # one character at a time: no special form at the end of a word
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def matches(self, text: str) -> list[bytes]:
+        """A unit's matches of the pattern, normalised, in UTF-8.
+
+        Beyond Latin-1, what is a letter differs between versions of Unicode, so
+        there the library's normalizer and pattern decide.
+        """
+        try:
+            text.encode("latin-1")
+            return [x.encode("utf-8") for x in self.pattern.findall(text.lower())]
+        except UnicodeEncodeError:
+            normal = self.library.normalizer.normalize_str(text)
+            return [normal[a:b].encode("utf-8") for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def units(self, units: list[str]) -> list[list[int]]:
         """Ids of texts without white space."""
@@ -151,7 +162,7 @@ class WordBpe:
                 if x in self.special:
                     own.append(self.special[x])
                 elif x:
-                    own += [m.encode("utf-8") for m in self.pattern.findall(self.normalised(x))]
+                    own += self.matches(x)
             pieces.append(own)
         distinct = list({x for own in pieces for x in own if isinstance(x, bytes)})
         ids = dict(zip(distinct, self.words(distinct), strict=True))
