@@ -116,6 +116,12 @@ class Index:
             return now.select("path", F.lit("new").alias("status"), F.lit(None).cast("string").alias("file_id"), "hash")
         return classified(now, self.file_index())
 
+    def _metadata_changed(self, docs: DataFrame, fields: dict[str, str]) -> bool:
+        """Whether any indexed file's frontmatter differs from what the index holds."""
+        held = self.rows().groupBy("filepath").agg(F.max(F.to_json(F.struct("data"))).alias("held"))
+        now = metadata_structs(docs, fields).select("filepath", F.to_json(F.struct("data")).alias("now"))
+        return not held.join(now, "filepath").where(~F.col("held").eqNullSafe(F.col("now"))).isEmpty()
+
     def build(self, docs: DataFrame, config: Config, force: bool = False) -> BuildResult:
         """Bring the index up to date with ``docs``."""
         drift = self.drift(config)
@@ -131,10 +137,14 @@ class Index:
         target = f"{self.root}/{snapshot}"
         status = self.classify(docs)
         if full:
-            status = docs.select("path", F.lit("new").alias("status"), F.lit(None).cast("string").alias("file_id"), content_hash("content").alias("hash")) if force or not self.exists() else status
+            status = docs.select("path", F.lit("new").alias("status"), F.lit(None).cast("string").alias("file_id"), content_hash("content").alias("hash"))
         status.write.parquet(f"{target}/status")
         status = self.spark.read.parquet(f"{target}/status")
         counts = {r.status: r["count"] for r in status.groupBy("status").count().collect()}
+        if not full and set(counts) <= {"unchanged"} and not self._metadata_changed(docs, fields):
+            self.files.remove(snapshot)
+            meta = self.metadata()
+            return BuildResult(meta["snapshot"], 0, 0, counts.get("unchanged", 0), 0, 0, meta["chunks"], False)
         todo = docs.join(status.where("status in ('new', 'edited')"), "path").select("path", "content", "body_line_offset", "file_id", "hash")
         built_at = dt.datetime.now(dt.timezone.utc)
         embed_chunks(todo, model, most).withColumn("built_at", F.lit(built_at)).write.parquet(f"{target}/embedded")

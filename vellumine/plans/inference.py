@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,15 @@ def infer(docs: DataFrame, most_values: int = 10) -> InferredSchema:
 
     Values are kept for fields of at most ``most_values`` distinct ones.
     """
-    found = leaves(docs)
+    # parsed once; several aggregates read it
+    parsed = docs.select("path", "leaves").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _infer(parsed, leaves(parsed), most_values)
+    finally:
+        parsed.unpersist()
+
+
+def _infer(docs: DataFrame, found: DataFrame, most_values: int) -> InferredSchema:
     rows = field_types(found).collect()
     kinds = {r.field: widen_all(r.observed) or "String" for r in rows}
     dropped = sorted(name for name, kind in kinds.items() if "Array(Object)" in kind or "Object" in kind)
