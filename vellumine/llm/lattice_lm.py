@@ -1,7 +1,8 @@
 """Language-model scores from a subword lattice.
 
 The pieces are an existing vocabulary's. Their weights are counted in the
-training texts, as the vocabulary itself cuts their words. A text's probability
+training texts: first as the vocabulary itself cuts their words, then once more
+as expected over all segmentations. A text's probability
 is the sum over all its segmentations into pieces: a forward recursion in log
 space over positions, for all words of a length side by side. No piece reaches
 over white space, so a text's lattice falls into its words' lattices, and each
@@ -33,6 +34,8 @@ FREQUENT = 250_000
 #: Distinct words that a task counts before it passes counts on.
 COUNTED_WORDS = 300_000
 SMOOTHING = 0.1
+#: Times that weights are counted again, over all segmentations.
+ROUNDS = 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 18
 _SHIFT = np.uint64(64 - 18)
@@ -75,30 +78,34 @@ class Lattice:
 
     def __init__(self, names: list[str], logs: np.ndarray, end_log: float) -> None:
         self.end_log = end_log
-        self.bytes = np.full(256, -np.inf)
+        self.count = len(names)
+        self.bytes, self.byte_ids = np.full(256, -np.inf), np.zeros(256, np.int64)
+        self.ids = np.zeros(_SLOTS, np.int64)
+        self.single_ids: dict[int, int] = {}
         self.keys, self.logs = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -np.inf)
         self.used = np.zeros(_SLOTS, bool)
         self.single: dict[int, float] = {}
         self.longest = self.probes = 1
-        for name, log in zip(names, logs.tolist(), strict=True):
+        for i, (name, log) in enumerate(zip(names, logs.tolist(), strict=True)):
             if len(name) == 6 and name.startswith("<0x") and name.endswith(">"):
-                self.bytes[int(name[3:5], 16)] = log
+                self.bytes[int(name[3:5], 16)], self.byte_ids[int(name[3:5], 16)] = log, i
             elif not (name.startswith("<") and name.endswith(">") and len(name) > 2):
-                self._insert(_hash(np.frombuffer(name.encode("utf-32-le"), "<u4").astype(np.uint64)), log)
+                self._insert(_hash(np.frombuffer(name.encode("utf-32-le"), "<u4").astype(np.uint64)), log, i)
                 self.longest = max(self.longest, len(name))
                 if len(name) == 1:
-                    self.single[ord(name)] = log
+                    self.single[ord(name)], self.single_ids[ord(name)] = log, i
 
-    def _insert(self, key: np.uint64, log: float) -> None:
+    def _insert(self, key: np.uint64, log: float, number: int) -> None:
         with np.errstate(over="ignore"):
             at = int((key * _SPREAD) >> _SHIFT)
         tries = 1
         while self.used[at]:
             at, tries = (at + 1) % _SLOTS, tries + 1
-        self.used[at], self.keys[at], self.logs[at] = True, key, log
+        self.used[at], self.keys[at], self.logs[at], self.ids[at] = True, key, log, number
         self.probes = max(self.probes, tries)
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log weight of each key, and the slot it was found in."""
         flat = keys.ravel()
         at = ((flat * _SPREAD) >> _SHIFT).astype(np.int64)
         out = np.where(self.keys[at] == flat, self.logs[at], -np.inf)
@@ -111,7 +118,7 @@ class Lattice:
             hit = self.used[here] & (self.keys[here] == flat[open_])
             out[open_[hit]] = self.logs[here[hit]]
             open_ = open_[self.used[here] & ~hit]
-        return out.reshape(keys.shape)
+        return out.reshape(keys.shape), at.reshape(keys.shape)
 
     def _character(self, point: int) -> float:
         """A character on its own: its piece, or else its bytes."""
@@ -120,10 +127,15 @@ class Lattice:
             found = float(self.bytes[list(chr(point).encode("utf-8", "surrogatepass"))].sum())
         return found
 
-    def _rows(self, points: np.ndarray) -> np.ndarray:
-        """Words of one length, a word a row of characters."""
+    def _rows(self, points: np.ndarray, counts: np.ndarray | None = None, gathered: np.ndarray | None = None) -> np.ndarray:
+        """Words of one length, a word a row of characters: their marginals.
+
+        With ``counts``, how often each piece is expected in so many of each word
+        is added to ``gathered``.
+        """
         n, length = points.shape
-        with np.errstate(over="ignore"):
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        with np.errstate(over="ignore", invalid="ignore"):
             ahead = np.zeros((n, length + 1), np.uint64)
             for j in range(length):
                 ahead[:, j + 1] = ahead[:, j] * _BASE + points[:, j] + np.uint64(1)
@@ -131,22 +143,53 @@ class Lattice:
             for _ in range(self.longest):
                 powers.append(powers[-1] * _BASE)
             distinct, back = np.unique(points, return_inverse=True)
-            alone = np.array([self._character(int(x)) for x in distinct])[back].reshape(points.shape)
+            back = back.reshape(points.shape)
+            alone = np.array([self._character(int(x)) for x in distinct])[back]
             alpha = np.full((n, length + 1), -np.inf)
             alpha[:, 0] = 0
             for j in range(1, length + 1):
                 most = min(self.longest, j)
-                parts = np.empty((n, most))
-                parts[:, 0] = alone[:, j - 1] + alpha[:, j - 1]
+                logs, slots = np.empty((n, most)), np.zeros((n, most), np.int64)
+                logs[:, 0] = alone[:, j - 1]
                 if most > 1:
                     keys = np.stack([ahead[:, j] - ahead[:, j - k] * powers[k] for k in range(2, most + 1)], axis=1)
-                    parts[:, 1:] = self._find(keys) + alpha[:, j - most : j - 1][:, ::-1]
+                    logs[:, 1:], slots[:, 1:] = self._find(keys)
+                if counts is not None:
+                    edges.append((logs, slots))
+                parts = logs + alpha[:, j - most : j][:, ::-1]
                 top = parts.max(axis=1)
                 alpha[:, j] = top + np.log(np.exp(parts - top[:, None]).sum(axis=1))
+            if counts is None:
+                return alpha[:, length]
+            beta = np.full((n, length + 1), -np.inf)
+            beta[:, length] = 0
+            for j in range(length, 0, -1):
+                logs, slots = edges[j - 1]
+                most = logs.shape[1]
+                before = beta[:, j - most : j][:, ::-1]
+                beta[:, j - most : j] = np.logaddexp(before, logs + beta[:, j : j + 1])[:, ::-1]
+                share = np.exp(logs + alpha[:, j - most : j][:, ::-1] + beta[:, j : j + 1] - alpha[:, length :]) * counts[:, None]
+                hit = np.flatnonzero(share[:, 1:] > 0)
+                gathered += np.bincount(self.ids[slots[:, 1:].ravel()[hit]], share[:, 1:].ravel()[hit], self.count)
+                characters = np.bincount(back[:, j - 1], share[:, 0], len(distinct))
+                for x in np.flatnonzero(characters):
+                    point = int(distinct[x])
+                    own = [self.single_ids[point]] if point in self.single_ids else self.byte_ids[list(chr(point).encode("utf-8", "surrogatepass"))]
+                    np.add.at(gathered, own, characters[x])
         return alpha[:, length]
 
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in so many of each word."""
+        gathered = np.zeros(self.count)
+        self._each(words, lambda points, at: self._rows(points, counts[at].astype(np.float64), gathered))
+        return gathered
+
     def words(self, words: list[bytes]) -> np.ndarray:
         """Log10 of each word's marginal probability."""
+        return self._each(words, lambda points, at: self._rows(points)) / math.log(10)
+
+    def _each(self, words: list[bytes], rows) -> np.ndarray:
+        """What ``rows`` makes of words of one length, block by block."""
         own = [_points(x.decode("utf-8", "replace")) for x in words]
         sizes = np.array([len(x) for x in own], np.int64)
         out = np.zeros(len(words))
@@ -155,8 +198,8 @@ class Lattice:
             block = max(1, 2_000_000 // int(length * self.longest))
             for i in range(0, len(at), block):
                 chosen = at[i : i + block]
-                out[chosen] = self._rows(np.stack([own[k] for k in chosen]))
-        return out / math.log(10)
+                out[chosen] = rows(np.stack([own[k] for k in chosen]), chosen)
+        return out
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -182,26 +225,42 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(step, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _piece_counts(words: DataFrame, vocabulary: str) -> np.ndarray:
-    """How often the training words, as the vocabulary cuts them, hold each piece."""
+def _summed(words: DataFrame, size: int, count) -> np.ndarray:
+    """Sum over tasks of ``count(words, their counts)``, a number per piece."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = library(vocabulary)
-        total = np.zeros(model.get_piece_size())
+        total = np.zeros(size)
         for batch in batches:
-            found = model.encode([x.decode("utf-8", "replace") for x in batch.column("word").to_pylist()], num_threads=1)
-            times = np.repeat(batch.column("c").to_numpy(), [len(x) for x in found])
-            total += np.bincount(np.fromiter((i for x in found for i in x), np.int64, len(times)), times, len(total))
+            total += count(batch.column("word").to_pylist(), batch.column("c").to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
-    sums = words.select("word", "c").mapInArrow(step, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(piece_names(vocabulary)))
-    for r in sums:
+    out = np.zeros(size)
+    for r in words.select("word", "c").mapInArrow(step, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         out[r.piece] = r.n
     return out
 
 
+def _cut_counts(vocabulary: str, size: int):
+    """How often words, as the vocabulary cuts them, hold each piece."""
+
+    def count(words: list[bytes], times: np.ndarray) -> np.ndarray:
+        found = library(vocabulary).encode([x.decode("utf-8", "replace") for x in words], num_threads=1)
+        each = np.repeat(times, [len(x) for x in found])
+        return np.bincount(np.fromiter((i for x in found for i in x), np.int64, len(each)), each, size)
+
+    return count
+
+
+def _expected_counts(names: list[str], logs: np.ndarray):
+    """How often words, summed over all their segmentations, hold each piece."""
+
+    def count(words: list[bytes], times: np.ndarray) -> np.ndarray:
+        return Lattice(names, logs, 0.0).expected(words, times)
+
+    return count
+
+
 @dataclass
 class Model:
     """Training totals, the table (word, c, lattice), and piece weights."""
@@ -220,15 +279,18 @@ def learn(rows: DataFrame, vocabulary: str, scratch: Scratch) -> Model:
     words = counted.where(F.col("word").isNotNull())
     totals = counted.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("texts"), F.count("word").alias("words")).first()
     texts = totals.texts or 0
-    counts = _piece_counts(words, vocabulary)
     names = piece_names(vocabulary)
-    weights = counts + SMOOTHING
-    for i, name in enumerate(names):
-        if name in ("<unk>", "<s>", "</s>"):
-            weights[i] = 0
-    whole = weights.sum() + texts + SMOOTHING
-    with np.errstate(divide="ignore"):
-        logs = np.log(weights / whole)
+    usable = np.array([name not in ("<unk>", "<s>", "</s>") for name in names])
+
+    def logs_of(counts: np.ndarray) -> tuple[np.ndarray, float]:
+        weights = np.where(usable, counts + SMOOTHING, 0)
+        whole = weights.sum() + texts + SMOOTHING
+        with np.errstate(divide="ignore"):
+            return np.log(weights / whole), whole
+
+    logs, whole = logs_of(_summed(words, len(names), _cut_counts(vocabulary, len(names))))
+    for _ in range(ROUNDS):
+        logs, whole = logs_of(_summed(words, len(names), _expected_counts(names, logs)))
     end_log = math.log((texts + SMOOTHING) / whole)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,18 +35,16 @@ _LEVEL = struct.Struct("<I?")
 
 def dac_encode(ids: np.ndarray) -> bytes:
     """The codes of unsigned 32-bit ids."""
-    rest, out, levels = ids.astype(np.uint32), [], 0
+    rest, out, levels = np.ascontiguousarray(ids, "<u4"), [], 0
     while True:
-        chunk, rest = (rest & np.uint32(255)).astype(np.uint8), rest >> np.uint32(8)
-        more = rest > 0
-        last = not more.any()
-        out += [_LEVEL.pack(len(chunk), last), chunk.tobytes()]
+        chunk, more = rest.view(np.uint8)[::4].copy(), rest > 255
+        rest = rest[more] >> np.uint32(8)
         levels += 1
-        if last:
-            return _HEAD.pack(_MAGIC, levels) + b"".join(out)
-        ranks = np.concatenate([[0], np.cumsum(more)])[: len(chunk) : RANK_STEP]
-        out += [np.packbits(more).tobytes(), ranks.astype("<u4").tobytes()]
-        rest = rest[more]
+        out += [_LEVEL.pack(len(chunk), not len(rest)), chunk.data]
+        if not len(rest):
+            return b"".join([_HEAD.pack(_MAGIC, levels), *out])
+        sums = np.add.reduceat(more, np.arange(0, len(more), RANK_STEP), dtype=np.uint32)
+        out += [np.packbits(more).data, (np.cumsum(sums, dtype=np.uint32) - sums).astype("<u4").tobytes()]
 
 
 class DacReader:
@@ -97,11 +95,11 @@ class DacReader:
 def write_token_store(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label: str = "tokens") -> DataFrame:
     """Encode every whole text, add ``end_id``, and write segments by ascending id.
 
-    Rows are dealt by ranges of (id, hash of the text), so even an id that very
-    many rows share spreads. Returns the written table.
+    Rows are dealt by ranges of (id, hash of the text's size and head), so even an
+    id that very many rows share spreads. Returns the written table.
     """
     small_batches(docs.sparkSession)
-    rows = text_input(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    rows = text_input(docs, id_col, text_col).withColumn("tie", F.xxhash64(F.octet_length("text"), F.substring("text", 1, 64)))
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     kind = rows.schema["id"].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("base", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType())])
@@ -109,11 +107,11 @@ def write_token_store(docs: DataFrame, vocabulary: str, end_id: int, scratch: Sc
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, base = encoder(ByteEncoder, vocabulary), partition_id(), 0
-        ids, held, size = [], [], 0
+        ids, lengths, held, size = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
             values = np.frombuffer(b"".join(held), "<u4")
-            columns = [[part], [base], [len(values)], [ids], [[len(x) // 4 for x in held]], [dac_encode(values)]]
+            columns = [[part], [base], [len(values)], [ids], [lengths], [dac_encode(values)]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(arrow_kind), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, kinds, strict=True)], schema.names)
 
@@ -123,10 +121,11 @@ def write_token_store(docs: DataFrame, vocabulary: str, end_id: int, scratch: Sc
                 if held and size + len(found) // 4 >= SEGMENT_IDS:
                     yield segment()
                     base += size
-                    ids, held, size = [], [], 0
+                    ids, lengths, held, size = [], [], [], 0
                 ids.append(at)
-                held.append(found + end)
-                size += len(found) // 4 + 1
+                lengths.append(len(found) // 4 + 1)
+                held += (found, end)
+                size += lengths[-1]
         if held:
             yield segment()
 
@@ -150,7 +149,7 @@ def read_token_store(spark: SparkSession, store: DataFrame, id_col: str = "doc_i
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values = DacReader(batch.column("payload")[i].as_py()).all().astype("<u4")
+                values = DacReader(batch.column("payload")[i].as_py()).all().astype("<u4", copy=False)
                 lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
                 ends = np.cumsum(lengths)
                 sums32 = [zlib.crc32(values[b - n : b]) for b, n in zip(ends, lengths, strict=True)]
@@ -164,8 +163,8 @@ def token_store(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str =
     """Write all documents' ids and return what the written files say of them.
 
     A null text counts as empty and holds the end id only. Rows with a null id
-    come first; rows that share an id stand side by side, in the order of their
-    texts' hashes. Columns other than id and text are ignored. An empty table
+    come first; rows that share an id stand side by side, in the order of a
+    hash. Columns other than id and text are ignored. An empty table
     gives an empty store.
     """
     spark = docs.sparkSession

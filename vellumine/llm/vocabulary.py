@@ -16,7 +16,7 @@ import numpy as np
 
 #: Units that a worker's cache holds; beyond it a new one begins, which takes what
 #: is still asked for from the old one.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 200_000
 #: Longer units are encoded each time; they hardly recur.
 UNIT_CHARS = 64
 
@@ -41,6 +41,8 @@ def word_units(text: str) -> list[str]:
 class Encoder:
     """``ids(texts)``: each text's ids as little-endian unsigned 32-bit bytes."""
 
+    #: Units of a cache; two of them may be held.
+    most = CACHE_UNITS
     #: Where the first token of a word, or the last, can be told by its spelling.
     first_mark = last_mark = ""
 
@@ -113,7 +115,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(x) for x in texts]
-        if len(self.cache) > CACHE_UNITS:
+        if len(self.cache) > self.most:
             self.old, self.cache = self.cache, {}
         new = self.learn(set().union(*cut))
         get, out, whole = self.cache.__getitem__, [], []
@@ -161,6 +163,9 @@ class ByteEncoder(Encoder):
     whole.
     """
 
+    #: Words with and without a space, a mark or a line end before them are apart
+    #: here, so more of them recur.
+    most = 700_000
     first_mark = "\u0120"
 
     def cut(self, text: str) -> list[str]:
