@@ -165,3 +165,34 @@ def test_stream_keeps_index_up(spark, tmp_path):
     assert index.stats() == {"chunks": 2, "files_indexed": 2}
     send(("a.md", '{"n": 5}\nchanged', 2), ("b.md", None, 2), ("c.md", "third", 1))
     assert sorted((r.filepath, r.chunk_text) for r in index.rows().collect()) == [("a.md", "changed"), ("c.md", "third")]
+
+
+def test_vector_lists(spark, tmp_path, monkeypatch):
+    from vellumine.operators import ann, index
+    from vellumine.operators.search import search, semantic_scores, top
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    rows = spark.createDataFrame([(f"{i:05d}", [float(x) for x in centres[i % 20] + 0.3 * rng.normal(size=16)]) for i in range(2000)], "chunk_id string, embedding array<float>")
+    path = f"file://{tmp_path}/lists"
+    centroids = ann.write_lists(rows, path, 2000, 40)
+    assert spark.read.parquet(path).count() == 2000
+    hits = wanted = 0
+    for i in range(0, 2000, 50):
+        query = list(rows.where(f"chunk_id = '{i:05d}'").first().embedding)
+        exact = {r.chunk_id for r in top(semantic_scores(rows, query), 10).collect()}
+        hits += len(exact & {r.chunk_id for r in ann.nearest(spark, path, centroids, query, 10, 8).collect()})
+        wanted += 10
+    assert hits / wanted >= 0.9
+    plan = ann.probed(spark, path, centroids, query, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+    monkeypatch.setattr(index, "LEAST_VECTORS", 3)
+    own = Index(spark, f"file://{tmp_path}/index")
+    own.build(rows_of(spark, 12), cfg.Config())
+    query = MockEmbedder().encode(["text number 3"])[0].tolist()
+    found = search(own, "x", "semantic", None, 1, query, probes=3)[0].collect()
+    assert found[0].filename == "3.md" and found[0].score > 0.999
+
+
+def rows_of(spark, count):
+    return documents(spark.createDataFrame([(f"{i}.md", f"text number {i}") for i in range(count)], "path string, raw string"))

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumine.functions.text import content_hash, terms
+from vellumine.operators.ann import LEAST_VECTORS, probed, write_lists
 from vellumine.operators.chunking import DEFAULT_CHARS, chunks, plain_text
 from vellumine.operators.embedding import load_embedder
 from vellumine.plans.config import Config, EmbeddingModel
@@ -79,6 +81,13 @@ class Index:
         """(term, chunk_id, tf, length): ordered by term."""
         return self._table("postings")
 
+    def probed(self, query: list[float], probes: int) -> DataFrame | None:
+        """(chunk_id) of the vector lists nearest to a query; None if there are no lists."""
+        meta = self.metadata()
+        if not meta.get("centroids"):
+            return None
+        return probed(self.spark, f"{self.root}/{meta['snapshot']}/lists", np.array(meta["centroids"], np.float32), query, probes).select("chunk_id")
+
     def file_index(self) -> DataFrame:
         """One row per file: filepath, file_id, content_hash."""
         return self.rows().groupBy("filepath").agg(F.min("file_id").alias("file_id"), F.min("content_hash").alias("content_hash"))
@@ -158,8 +167,9 @@ class Index:
         rows = self.spark.read.parquet(f"{target}/chunks")
         postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{target}/postings")
         sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(terms(F.col("chunk_text")))).alias("length")).first()
+        centroids = write_lists(rows, f"{target}/lists", sums.n).tolist() if sums.n >= LEAST_VECTORS else None
         before = self.metadata()["snapshot"] if self.exists() else None
-        meta = {"snapshot": snapshot, "provider": model.provider, "model": model.name, "revision": model.revision, "dimension": dimension, "chunk_size": most, "glob": config.scan.glob, "built_at": built_at.isoformat(), "schema_hash": schema_hash(fields), "fields": fields, "chunks": sums.n, "mean_length": sums.length or 0.0}
+        meta = {"snapshot": snapshot, "provider": model.provider, "model": model.name, "revision": model.revision, "dimension": dimension, "chunk_size": most, "glob": config.scan.glob, "built_at": built_at.isoformat(), "schema_hash": schema_hash(fields), "fields": fields, "chunks": sums.n, "mean_length": sums.length or 0.0, "centroids": centroids}
         self.files.replace(POINTER, json.dumps(meta, indent=2))
         for part in ("status", "embedded"):
             self.files.remove(f"{snapshot}/{part}")

@@ -62,8 +62,12 @@ def best_per_file(rows: DataFrame, key: str = "file_id", order: Column | None =
     return rows.withColumn("place", F.row_number().over(window)).where("place = 1").drop("place")
 
 
-def search(index, text: str | None, mode: str = "hybrid", where: str | None = None, limit: int = 10, query: list[float] | None = None, internal_prefix: str = "", aliases: dict[str, str] | None = None, overfetch: int | None = OVERFETCH, strict: bool = True) -> tuple[DataFrame, Predicate]:
-    """The best chunk of each of the best files, and the predicate as it was read."""
+def search(index, text: str | None, mode: str = "hybrid", where: str | None = None, limit: int = 10, query: list[float] | None = None, internal_prefix: str = "", aliases: dict[str, str] | None = None, overfetch: int | None = OVERFETCH, strict: bool = True, probes: int | None = None) -> tuple[DataFrame, Predicate]:
+    """The best chunk of each of the best files, and the predicate as it was read.
+
+    ``probes`` reads only so many vector lists of a large index, for speed; None
+    compares all vectors.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode '{mode}'")
     meta = index.metadata()
@@ -77,7 +81,9 @@ def search(index, text: str | None, mode: str = "hybrid", where: str | None = No
     light = ["chunk_id", "file_id", "filepath", "chunk_index", "start_line", "end_line", "chunk_text"]
 
     def semantic() -> DataFrame:
-        return top(semantic_scores(rows, query).select(*light, "score"), take)
+        near = index.probed(query, probes) if probes else None
+        own = rows if near is None else rows.join(near, "chunk_id", "left_semi")
+        return top(semantic_scores(own, query).select(*light, "score"), take)
 
     def fulltext() -> DataFrame:
         scores = bm25_scores(index.postings(), text or "", meta["chunks"], meta["mean_length"])
