@@ -196,3 +196,20 @@ def test_vector_lists(spark, tmp_path, monkeypatch):
 
 def rows_of(spark, count):
     return documents(spark.createDataFrame([(f"{i}.md", f"text number {i}") for i in range(count)], "path string, raw string"))
+
+
+def test_update_and_reinfer(vault, tmp_path):
+    vault.init()
+    write(tmp_path, "notes/more.md", "---\ntitle: T\nstatus: odd\nrating: 7\ndraft: true\npublished: 2024-01-01\ntags: [a]\nextra: 1.5\n---\nx")
+    assert vault.update(dry_run=True).result["added"] == ["extra"] and "extra" not in {x.name for x in vault.config().fields}
+    vault.update()
+    assert {x.name: x.type for x in vault.config().fields}["extra"] == "Float"
+    vault.update(["rating"], constraints="range")
+    limits = {x.name: x.constraints for x in vault.config().fields}["rating"]
+    assert (limits.min, limits.max) == (1, 7)
+    vault.update(["status"], constraints="categories")
+    assert {x.name: x.constraints for x in vault.config().fields}["status"].categories == ["active", "archived", "draft", "odd"]
+    write(tmp_path, "notes/more.md", "---\ntitle: 5\n---\nx")
+    assert "rating" in vault.update(everything=True).result["changed"]
+    with pytest.raises(cfg.ConfigError):
+        vault.update(["nothing"])

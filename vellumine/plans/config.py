@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from vellumine.functions.globs import covered, well_formed
-from vellumine.plans.inference import COERCE, WIDEN, InferredSchema, categories
+from vellumine.plans.inference import COERCE, WIDEN, InferredField, InferredSchema, categories
 from vellumine.sources.toml_codec import toml_key, toml_value
 from vellumine.types import FieldTypeError, element, parse_type
 
@@ -307,11 +307,21 @@ def schema_diff(config: Config, schema: InferredSchema, targets: list[str] | Non
     }
 
 
-def reinfer(config: Config, schema: InferredSchema, targets: list[str] | None = None, constraints: str | None = "categorical") -> Config:
+def _limits(found: InferredField, config: Config, how: str | None, ranges: dict[str, tuple[float, float]]) -> Constraints | None:
+    if how == "range":
+        if found.name not in ranges or (element(found.type) or found.type) not in ("Integer", "Float"):
+            return None
+        low, high = ranges[found.name]
+        return Constraints(min=int(low), max=int(high)) if (element(found.type) or found.type) == "Integer" else Constraints(min=low, max=high)
+    values = categories(found, config.max_categories, config.min_category_repetition) if how == "categorical" else found.values if how == "categories" else None
+    return Constraints(categories=values) if values else None
+
+
+def reinfer(config: Config, schema: InferredSchema, targets: list[str] | None = None, constraints: str | None = "categorical", ranges: dict[str, tuple[float, float]] | None = None) -> Config:
     """The configuration with target fields inferred anew; others stay.
 
     ``constraints``: ``categorical`` by the usual rule, ``categories`` for all
-    values, or None.
+    values, ``range`` for the least and the greatest number, or None.
     """
     inferred = {x.name: x for x in schema.fields}
     declared = {x.name: x for x in config.fields}
@@ -322,8 +332,7 @@ def reinfer(config: Config, schema: InferredSchema, targets: list[str] | None =
     fields = [x for x in config.fields if x.name not in chosen]
     for name in sorted(chosen & inferred.keys() - set(config.ignore)):
         x = inferred[name]
-        found = categories(x, config.max_categories, config.min_category_repetition) if constraints == "categorical" else (x.values or None) if constraints == "categories" else None
-        fields.append(Field(x.name, x.type, x.allowed, x.required, x.nullable, Constraints(categories=found) if found else None, x.preprocess))
+        fields.append(Field(x.name, x.type, x.allowed, x.required, x.nullable, _limits(x, config, constraints, ranges or {}), x.preprocess))
     out = Config(**{**config.__dict__, "fields": sorted(fields, key=lambda x: x.name)})
     return out
 

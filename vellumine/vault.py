@@ -19,11 +19,13 @@ from vellumine.operators.index import BuildResult, Index, IndexError_
 from vellumine.operators.search import search
 from vellumine.plans import config as cfg
 from vellumine.plans import jsonschema, validation
-from vellumine.plans.inference import infer
+from vellumine.plans.inference import infer, value_ranges
 from vellumine.sources.frontmatter import documents, leaves
 from vellumine.sources.listing import list_files, read_files
 
 INDEX_FOLDER = ".vault"
+#: Values that a field may have to be declared categorical by force.
+MOST_VALUES = 10_000
 #: Exit codes of the command line.
 DONE, FOUND_VIOLATIONS, FAILED = 0, 1, 2
 
@@ -138,13 +140,16 @@ class Vault:
 
     def update(self, reinfer: list[str] | None = None, everything: bool = False, constraints: str | None = "categorical", dry_run: bool = False) -> Outcome:
         """Add new fields, or infer the named ones (or all) anew; tells the difference."""
-        out, config = Outcome(), self.config()
+        out, config, ranges = Outcome(), self.config(), {}
         with out.step("infer"):
-            found = infer(self.scan(config.scan))
+            docs = self.scan(config.scan)
+            found = infer(docs, MOST_VALUES if constraints == "categories" else config.max_categories)
+            if constraints == "range":
+                ranges = {r.field: (r.min, r.max) for r in value_ranges(leaves(docs)).collect()}
         targets = None if everything else reinfer
         diff = cfg.schema_diff(config, found, [x.name for x in found.fields if x.name not in {y.name for y in config.fields}] if not everything and reinfer is None else targets)
         if everything or reinfer is not None:
-            config = cfg.reinfer(config, found, targets, constraints)
+            config = cfg.reinfer(config, found, targets, constraints, ranges)
         else:
             cfg.add_new_fields(config, found)
         cfg.check_config(config)
