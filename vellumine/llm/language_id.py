@@ -223,7 +223,12 @@ def identify_languages(docs: DataFrame, model: ByteCnn | None, id_col: str = "do
 
 
 def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs`` whose text has a language with a score of ``least`` or more.
+
+    Without a model nothing is rejected.
+    """
+    if model is None:
+        return docs
     small_batches(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

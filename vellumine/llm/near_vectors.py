@@ -44,8 +44,10 @@ def _vectors(rows: DataFrame) -> DataFrame:
         rid = partition_id() << 36
         for batch in batches:
             column, out = batch.column("vec"), []
-            for x in column:
-                values = np.array([np.nan if y is None else y for y in x.as_py()], np.float64) if x.is_valid else np.zeros(0)
+            numbers = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls are not numbers
+            bounds, given = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+            for i in range(len(column)):
+                values = numbers[bounds[i] : bounds[i + 1]] if given[i] else numbers[:0]
                 norm = np.sqrt(values @ values) if len(values) and np.isfinite(values).all() else 0.0
                 out.append(values.tobytes() if 0 < norm < np.inf else None)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(out))), batch.column("id").cast(kind), pa.array(out, pa.binary())], ["rid", "id", "vec"])

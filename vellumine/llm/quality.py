@@ -186,7 +186,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, forest: Forest, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more."""
+    """The rows of ``docs`` that score ``least`` or more.
+
+    A forest that had nothing to tell apart rejects nothing.
+    """
+    if not len(forest.feature):
+        return docs
     small_batches(docs.sparkSession)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
