@@ -88,8 +88,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_REACHED = "r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_vectors": f"""
+            WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+            n AS (SELECT vec_id AS id FROM embeddings),
+            l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+            {_REACHED}
+            SELECT c.a AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.a) AS n_links, component_id, c.a = component_id AS kept FROM c""",
+        "op6_ngram_join": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            n AS (SELECT doc_id AS id FROM documents),
+            s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+            k AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+            p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+            q AS (SELECT p.a, p.b FROM p JOIN k ka ON ka.doc_id = p.a JOIN k kb ON kb.doc_id = p.b WHERE 100 * shared >= 85 * (ka.size + kb.size - shared)),
+            l AS (SELECT a, b FROM q UNION ALL SELECT b, a FROM q),
+            {_REACHED}
+            SELECT c.a AS doc_id, coalesce(size, 0) AS n_shingles, component_id FROM c LEFT JOIN k ON k.doc_id = c.a""",
         "op9_exact_dedup": f"""
             WITH d AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
             g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
