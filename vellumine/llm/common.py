@@ -73,6 +73,11 @@ def keyed_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def bounded_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """As ``keyed_side``, where ``df`` is known to have at most ``rows`` rows."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def crc_of_id(doc_id: str | Column) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.llm.blocks import cells, runs, whole_runs
-from vellumine.llm.common import Scratch, arrow_type, byte_texts, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
+from vellumine.llm.common import Scratch, arrow_type, bounded_side, byte_texts, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
 from vellumine.llm.components import connected_components
 from vellumine.llm.shingles import shingle_sets
 
@@ -249,10 +249,12 @@ def _compared(least: Fraction):
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction, scratch: Scratch, label: str) -> DataFrame:
     """Of ``pairs`` (x, y), those whose sets (cid, tokens) are similar, as (a, b)."""
     pairs = scratch.write(pairs.distinct(), f"{label}-pairs")
+    count = pairs.count()
     many = pairs.groupBy("x").count().where(F.col("count") > FOLLOWERS).select("x", F.ceil(F.col("count") / FOLLOWERS).alias("parts"))
     parted = pairs.join(many, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), F.coalesce("parts", F.lit(1))).alias("salt"))
-    followers = parted.join(sets.withColumnRenamed("cid", "y"), "y").select("x", "salt", "y", F.lit(True).alias("follows"), "tokens")
-    leaders = parted.select("x", "salt").distinct().join(sets.withColumnRenamed("cid", "x"), "x").select("x", "salt", F.col("x").alias("y"), F.lit(False).alias("follows"), "tokens")
+    # the sets are large and the pairs small: only rows that are compared move
+    followers = sets.withColumnRenamed("cid", "y").join(bounded_side(parted, count), "y").select("x", "salt", "y", F.lit(True).alias("follows"), "tokens")
+    leaders = sets.withColumnRenamed("cid", "x").join(bounded_side(parted.select("x", "salt").distinct(), count), "x").select("x", "salt", F.col("x").alias("y"), F.lit(False).alias("follows"), "tokens")
     dealt = followers.unionByName(leaders).repartition("x", "salt").sortWithinPartitions("x", "salt", "follows").select("x", "y", "follows", "tokens")
     return scratch.write(dealt.mapInArrow(_compared(least), "a long, b long"), f"{label}-links")
 
@@ -304,8 +306,8 @@ def _dense_links(large: DataFrame, members: DataFrame, tokens: DataFrame, least:
     star = large.join(large.groupBy("token").agg(F.min("gid").alias("b")), "token").select(F.col("gid").alias("a"), "b").distinct()
     clusters = connected_components(star, scratch, "dense").select(F.col("id").alias("gid"), F.col("component").alias("cluster"))
     entries = scratch.write(clusters.join(members.select("gid", "cid", "n"), "gid").select("cluster", "cid", "n"), "dense-members")
-    placed = cells(entries, ["cluster"], "cid", DENSE_BLOCK, scratch, "dense-blocks", "n", SPREAD, FINE)
-    dealt = placed.join(tokens, "cid").repartition("cell").sortWithinPartitions("cell")
+    placed = scratch.write(cells(entries, ["cluster"], "cid", DENSE_BLOCK, scratch, "dense-blocks", "n", SPREAD, FINE), "dense-cells")
+    dealt = tokens.join(keyed_side(placed), "cid").repartition("cell").sortWithinPartitions("cell")
     return scratch.write(dealt.select("cell", "own", "other", "cid", "tokens").mapInArrow(_dense(least), "a long, b long"), "dense-links")
 
 
@@ -353,7 +355,8 @@ def _verified_in_cells(pairs: DataFrame, sets: DataFrame, least: Fraction, scrat
     dealt = scratch.write(clusters.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), f"{label}-blocks")
     ends = pairs.join(dealt.select(F.col("id").alias("x"), "component", F.col("block").alias("bx")), "x").join(dealt.select(F.col("id").alias("y"), F.col("block").alias("by")), "y")
     celled = scratch.write(ends.select(F.xxhash64("component", F.least("bx", "by"), F.greatest("bx", "by")).alias("cell"), "x", "y"), f"{label}-cells")
-    members = celled.select("cell", "x").unionByName(celled.select("cell", F.col("y").alias("x"))).distinct().join(sets.withColumnRenamed("cid", "x"), "x")
+    ends = celled.select("cell", "x").unionByName(celled.select("cell", F.col("y").alias("x"))).distinct()
+    members = sets.withColumnRenamed("cid", "x").join(bounded_side(ends, 2 * celled.count()), "x")
     rows = members.select("cell", "x", F.lit(None).cast("long").alias("y"), "tokens").unionByName(celled.select("cell", "x", "y", F.lit(None).cast("binary").alias("tokens")))
     rows = rows.withColumn("is_pair", F.col("y").isNotNull()).repartition("cell").sortWithinPartitions("cell", "is_pair").select("cell", "x", "y", "tokens")
     return scratch.write(rows.mapInArrow(_compared_in_cells(least), "a long, b long"), f"{label}-links")
