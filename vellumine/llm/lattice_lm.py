@@ -36,6 +36,8 @@ COUNTED_WORDS = 300_000
 SMOOTHING = 0.1
 #: Times that weights are counted again, over all segmentations.
 ROUNDS = 1
+#: Words that are done together at least.
+SIDE_BY_SIDE = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 1 << 18
 _SHIFT = np.uint64(64 - 18)
@@ -202,6 +204,18 @@ class Lattice:
         return out
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words joined, as words of a length are done side by side."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= SIDE_BY_SIDE or sum(x.nbytes for x in held) >= 1 << 23:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """(word, c) of each task's training texts, and (null, number of texts)."""
 
@@ -226,12 +240,12 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _summed(words: DataFrame, size: int, count) -> np.ndarray:
-    """Sum over tasks of ``count(words, their counts)``, a number per piece."""
+    """Sum over tasks of ``count()(words, their counts)``, a number per piece."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for batch in batches:
-            total += count(batch.column("word").to_pylist(), batch.column("c").to_numpy())
+        total, own = np.zeros(size), count()
+        for batch in _larger(batches):
+            total += own(batch.column("word").to_pylist(), batch.column("c").to_numpy())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
@@ -244,21 +258,22 @@ def _summed(words: DataFrame, size: int, count) -> np.ndarray:
 def _cut_counts(vocabulary: str, size: int):
     """How often words, as the vocabulary cuts them, hold each piece."""
 
-    def count(words: list[bytes], times: np.ndarray) -> np.ndarray:
-        found = library(vocabulary).encode([x.decode("utf-8", "replace") for x in words], num_threads=1)
-        each = np.repeat(times, [len(x) for x in found])
-        return np.bincount(np.fromiter((i for x in found for i in x), np.int64, len(each)), each, size)
+    def begin():
+        model = library(vocabulary)
 
-    return count
+        def count(words: list[bytes], times: np.ndarray) -> np.ndarray:
+            found = model.encode([x.decode("utf-8", "replace") for x in words], num_threads=1)
+            each = np.repeat(times, [len(x) for x in found])
+            return np.bincount(np.fromiter((i for x in found for i in x), np.int64, len(each)), each, size)
 
+        return count
 
-def _expected_counts(names: list[str], logs: np.ndarray):
-    """How often words, summed over all their segmentations, hold each piece."""
+    return begin
 
-    def count(words: list[bytes], times: np.ndarray) -> np.ndarray:
-        return Lattice(names, logs, 0.0).expected(words, times)
 
-    return count
+def _expected_counts(names: list[str], logs: np.ndarray):
+    """How often words, summed over all their segmentations, hold each piece."""
+    return lambda: Lattice(names, logs, 0.0).expected
 
 
 @dataclass
@@ -295,7 +310,7 @@ def learn(rows: DataFrame, vocabulary: str, scratch: Scratch) -> Model:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(names, logs, end_log)
-        for batch in batches:
+        for batch in _larger(batches):
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(lattice.words(batch.column("word").to_pylist()))], ["word", "c", "lattice"])
 
     table = scratch.write(words.select("word", "c").mapInArrow(step, "word binary, c long, lattice double"), "words")
@@ -367,7 +382,7 @@ def score_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, piece_logs, end_log)
-        for batch in batches:
+        for batch in _larger(batches):
             values = batch.column("lattice").to_numpy(zero_copy_only=False).copy()
             new = np.flatnonzero(np.isnan(values))
             if len(new):
