@@ -103,5 +103,13 @@ def test_wording_differences(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_altered_notices_beside_exact_ones_are_kept():
+    altered = "This work is licenced under the GNU General Public License, version 3."
+    found = {x[0]: x for x in license_scan.find_licenses(f"{license_scan.TEMPLATES["Apache-2.0"][1]}\n{altered}")}
+    assert set(found) == {"Apache-2.0", "GPL-3.0"} and found["Apache-2.0"][5] == [] and found["GPL-3.0"][5] == ["-licensed", "+licenced"]
+    (one,) = license_scan.find_licenses(license_scan.TEMPLATES["GPL-2.0"][1].replace("hope", "").replace("modify", "change"))
+    assert one[0] == "GPL-2.0"
+
+
 def test_lower_ascii():
     assert lower_ascii("ÀAZaz[".encode()) == "Àazaz[".encode()

@@ -3,18 +3,20 @@
 Lines that hold a license cue form candidate blocks. A block is compressed on
 its own and once more with each template as a zstandard raw dictionary; the
 templates are ranked by how much smaller that makes it. The best ranked are
-compared with the block word by word, and the one whose wording differs least
-wins if it is nearly all there; the differing words are returned.
+aligned with the block word by word, and those that are nearly all there are
+returned with the differing words; of licenses that match the same words, the
+one whose wording differs least.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -60,6 +62,9 @@ AROUND = 600
 #: How many of the best ranked templates are compared word by word, and the share
 #: of a template's words that a block must hold, in order.
 COMPARED, LEAST_SHARE = 4, 0.85
+#: So many words between count as much as one that is missing.
+APART = 16
+_SCALE = 1 << 20
 
 _CUE = re.compile("|".join(CUES))
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -110,33 +115,74 @@ def reductions(words: list[str]) -> list[float]:
     return [(size - len(x.compress(raw))) / size for x in given]
 
 
-def differences(template: tuple[str, ...], words: list[str]) -> tuple[float, list[str]]:
-    """Share of the template's words that the block holds in order, and what differs.
+def places(template: tuple[str, ...], words: list[str]) -> Iterator[tuple[float, list[int], list[str]]]:
+    """Where a block holds a template: share of its words, their places, and what differs.
 
-    Words of the block before the first and after the last common word are not
-    the notice's, and don't count.
+    An alignment costs APART for a word of the template that is missing and one
+    for a word of the block in between, so it has at most APART words in between
+    for each that it holds, and the cheapest of all are found. Words of the block
+    before the first and after the last common word are not the notice's. Places
+    share no words; they are found until none holds LEAST_SHARE.
     """
-    parts = difflib.SequenceMatcher(None, template, words, autojunk=False).get_opcodes()
-    same = sum(b - a for tag, a, b, _, _ in parts if tag == "equal")
-    if not same:
-        return 0.0, []
-    equal = [i for i, x in enumerate(parts) if x[0] == "equal"]
-    out = []
-    for k, (tag, a, b, c, d) in enumerate(parts):
-        if tag != "equal":
-            out += ["-" + x for x in template[a:b]]
-            if equal[0] < k < equal[-1]:
-                out += ["+" + x for x in words[c:d]]
-    return same / len(template), out
+    n, number = len(template), {x: i for i, x in enumerate(dict.fromkeys(template))}
+    ids = np.array([number.get(x, -1) for x in words])
+    held = [number[x] for x in template]
+    missing, between = APART * _SCALE, 1 + _SCALE  # a cost is told apart from the words in between that it counts
+
+    def step(row: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        new = row + missing
+        new[hits + 1] = np.minimum(new[hits + 1], row[hits])
+        ramp = np.arange(len(row), dtype=np.int64) * between
+        return np.minimum.accumulate(new - ramp) + ramp
+
+    while True:
+        row, hits = np.zeros(len(ids) + 1, np.int64), [np.flatnonzero(ids == i) for i in range(len(number))]
+        if sum(min(len(hits[number[x]]), k) for x, k in Counter(template).items()) < LEAST_SHARE * n:
+            return
+        for i in held:
+            row = step(row, hits[i])
+        shares = 1 - (row // _SCALE - row % _SCALE) / APART / n
+        ends = np.flatnonzero((shares >= LEAST_SHARE) & (np.diff(row, prepend=row[0] + 1) < between))
+        taken = np.zeros(len(ids) + 1, bool)
+        for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+            if taken[end]:
+                continue
+            first = max(0, end - (APART + 1) * n)
+            near = ids[first:end]
+            rows = [np.zeros(len(near) + 1, np.int64)]
+            for i in held:
+                rows.append(step(rows[-1], np.flatnonzero(near == i)))
+            i, j, pairs = n, len(near), []
+            while i and j:
+                if near[j - 1] == held[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+                    i, j = i - 1, j - 1
+                    pairs.append((i, first + j))
+                elif rows[i][j] == rows[i - 1][j] + missing:
+                    i -= 1
+                else:
+                    j -= 1
+            pairs.reverse()
+            at = [y for _, y in pairs]
+            if taken[np.array(at) + 1].any():
+                continue
+            taken[at[0] + 1 : at[-1] + 2] = True
+            ids[at] = -1
+            out = ["-" + x for x in template[: pairs[0][0]]]
+            for (a, c), (b, d) in zip(pairs, [*pairs[1:], (n, at[-1] + 1)], strict=True):
+                out += ["-" + x for x in template[a + 1 : b]] + ["+" + x for x in words[c + 1 : d]]
+            yield len(pairs) / n, at, out
+        if not taken.any():
+            return
 
 
 def find_licenses(text: str) -> list[tuple]:
     """(license, start, end, reduction, share, differing words) of each notice.
 
     A block may hold several licenses; each is reported once, by its best
-    template: the one with the largest share, then the fewest differences, then
-    the longest wording. A template whose matched words all lie within another
-    license's better match isn't reported.
+    template and place: the one with the largest share, then the fewest
+    differences, then the longest wording. A place whose matched words all lie
+    within another license's is no notice of its own if the other matches more
+    words, or the same words better.
     """
     out = []
     for start, end in blocks(text):
@@ -145,19 +191,16 @@ def find_licenses(text: str) -> list[tuple]:
             continue
         sizes = reductions(words)
         ranked = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-        best: dict[str, tuple] = {}
+        found = []
         for i in ranked[: max(COMPARED, sum(1 for x in sizes if x >= 0.9 * max(sizes)))]:
             template = _templates()[i]
-            share, changed = differences(template.words, words)
-            if sizes[i] > 0 and share >= LEAST_SHARE:
-                rank = (-share, len(changed), -len(template.words))
-                if template.license not in best or rank < best[template.license][0]:
-                    best[template.license] = (rank, sizes[i], share, changed)
-        if best:
-            top = min(rank for rank, *_ in best.values())
-            for name, (rank, reduction, share, changed) in sorted(best.items()):
-                if rank[:2] == top[:2]:
-                    out.append((name, start, end, reduction, share, changed))
+            if sizes[i] > 0:
+                found += [((-share, len(changed), -len(template.words)), template.license, frozenset(at), sizes[i], share, changed) for share, at, changed in places(template.words, words)]
+        best: dict[str, tuple] = {}
+        for x in sorted(found, key=lambda x: x[0]):
+            if x[1] not in best and not any(y[1] != x[1] and (x[2] < y[2] or x[2] == y[2] and y[0][:2] < x[0][:2]) for y in found):
+                best[x[1]] = x
+        out += [(name, start, end, *x[3:]) for name, x in sorted(best.items())]
     return out
 
 
