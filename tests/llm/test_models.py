@@ -111,5 +111,14 @@ def test_altered_notices_beside_exact_ones_are_kept():
     assert one[0] == "GPL-2.0"
 
 
+def test_short_notices_beside_long_ones_are_compared():
+    gpl, mit = license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["MIT"][2]
+    nc, reserved = license_scan.TEMPLATES["CC-BY-NC-4.0"][0], "All rights reserved."
+    for lines, names in (([gpl, reserved], {"GPL-3.0", "Proprietary"}), ([gpl, nc], {"GPL-3.0", "CC-BY-NC-4.0"}), ([mit, nc, reserved], {"MIT", "CC-BY-NC-4.0", "Proprietary"})):
+        assert {x[0] for x in license_scan.find_licenses("\n".join(lines)) if x[5] == []} == names
+    both = license_scan.find_licenses("Licensed under the MIT or Apache License, Version 2.0.")
+    assert [(x[0], x[5]) for x in both] == [("Apache-2.0", ["+mit", "+or"]), ("MIT", ["+or", "+apache"])]
+
+
 def test_lower_ascii():
     assert lower_ascii("ÀAZaz[".encode()) == "Àazaz[".encode()

@@ -2,10 +2,10 @@
 
 Lines that hold a license cue form candidate blocks. A block is compressed on
 its own and once more with each template as a zstandard raw dictionary; the
-templates are ranked by how much smaller that makes it. The best ranked are
-aligned with the block word by word, and those that are nearly all there are
-returned with the differing words; of licenses that match the same words, the
-one whose wording differs least.
+reduction by a template is returned with it. Every template that the block has
+words enough for is aligned with it word by word, and those that are nearly all
+there are returned with the differing words; of licenses that match the same
+words, the one whose wording differs least.
 """
 
 from __future__ import annotations
@@ -59,9 +59,8 @@ CUES = ("licens", "licenc", "copyright", "spdx", "hereby granted", "rights reser
 GAP_LINES = 3
 #: A long line is cut to so many characters around its cues.
 AROUND = 600
-#: How many of the best ranked templates are compared word by word, and the share
-#: of a template's words that a block must hold, in order.
-COMPARED, LEAST_SHARE = 4, 0.85
+#: The share of a template's words that a block must hold, in order.
+LEAST_SHARE = 0.85
 #: So many words between count as much as one that is missing.
 APART = 16
 _SCALE = 1 << 20
@@ -190,10 +189,8 @@ def find_licenses(text: str) -> list[tuple]:
         if not words:
             continue
         sizes = reductions(words)
-        ranked = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
         found = []
-        for i in ranked[: max(COMPARED, sum(1 for x in sizes if x >= 0.9 * max(sizes)))]:
-            template = _templates()[i]
+        for i, template in enumerate(_templates()):
             if sizes[i] > 0:
                 found += [((-share, len(changed), -len(template.words)), template.license, frozenset(at), sizes[i], share, changed) for share, at, changed in places(template.words, words)]
         best: dict[str, tuple] = {}
