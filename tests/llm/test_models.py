@@ -120,5 +120,18 @@ def test_short_notices_beside_long_ones_are_compared():
     assert [(x[0], x[5]) for x in both] == [("Apache-2.0", ["+mit", "+or"]), ("MIT", ["+or", "+apache"])]
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_notices_in_long_lines_are_found(name):
+    rng = np.random.default_rng(5)
+    prose = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 700)) for _ in range(4)]
+    for notice in license_scan.TEMPLATES[name]:
+        text = f"{prose[0]} copyright {prose[1]} {notice} {prose[2]} licensed {prose[3]}"
+        (found,) = license_scan.find_licenses(text)
+        assert found[0] == name and found[5] == [] and found[1] <= len(prose[0]) + len(prose[1]) + 12 and found[2] - found[1] < 2500
+    assert len(license_scan.blocks(f"{prose[0]} license {prose[1]} license {prose[2]}")) == 2
+    wrapped = license_scan.TEMPLATES["MIT"][2].replace(" ", "\n")
+    assert [(x[0], x[5]) for x in license_scan.find_licenses(f"{prose[0]}\n{wrapped}\n{prose[1]}")] == [("MIT", [])]
+
+
 def test_lower_ascii():
     assert lower_ascii("ÀAZaz[".encode()) == "Àazaz[".encode()

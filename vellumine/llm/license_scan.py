@@ -1,17 +1,17 @@
 """License scans by conditional compression.
 
-Lines that hold a license cue form candidate blocks. A block is compressed on
-its own and once more with each template as a zstandard raw dictionary; the
-reduction by a template is returned with it. Every template that the block has
-words enough for is aligned with it word by word, and those that are nearly all
-there are returned with the differing words; of licenses that match the same
-words, the one whose wording differs least.
+Lines that hold a license cue form candidate blocks. Every template that the
+words about a block suffice for is aligned with them, and those that are nearly
+all there are returned with the differing words; of licenses that match the same
+words, the one whose wording differs least. The notice is compressed on its own
+and once more with its template as a zstandard raw dictionary, and the reduction
+is returned; it decides nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -57,8 +57,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 CUES = ("licens", "licenc", "copyright", "spdx", "hereby granted", "rights reserved", "redistribut", "free software", "creative commons", "public license", "without warranty")
 #: Lines without a cue that a block may hold between two with one.
 GAP_LINES = 3
-#: A long line is cut to so many characters around its cues.
+#: A block holds so many characters of a long line around its cues, and no more lie
+#: between two cues; words of a notice are looked for as far beyond a block.
 AROUND = 600
+#: So many words beside a notice are compressed with it.
+BESIDE = 64
 #: The share of a template's words that a block must hold, in order.
 LEAST_SHARE = 0.85
 #: So many words between count as much as one that is missing.
@@ -92,26 +95,51 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompres
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Where candidate blocks begin and end in a text."""
+    """Where candidate blocks begin and end in a text.
+
+    Cues are in one block if at most GAP_LINES line ends and AROUND characters
+    lie between them, so lines of any length fall into blocks about cues.
+    """
     low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spans: list[list[int]] = []
+    reached = 0
     for cue in _CUE.finditer(low):
         first, last = low.rfind("\n", 0, cue.start()) + 1, low.find("\n", cue.end())
         last = len(low) if last < 0 else last
         first, last = max(first, cue.start() - AROUND), min(last, cue.end() + AROUND)
-        if spans and (first <= spans[-1][1] or low.count("\n", spans[-1][1], first) <= GAP_LINES):
+        if spans and cue.start() - reached <= AROUND and (first <= spans[-1][1] or low.count("\n", spans[-1][1], first) <= GAP_LINES):
             spans[-1][1] = max(last, spans[-1][1])
         else:
-            spans.append([first, last])
+            spans.append([max(first, (spans[-1][1] + cue.start()) // 2) if spans and first < spans[-1][1] else first, last])
+            if len(spans) > 1:
+                spans[-2][1] = min(spans[-2][1], spans[-1][0])
+        reached = cue.end()
     return [(a, b) for a, b in spans]
 
 
-def reductions(words: list[str]) -> list[float]:
-    """By how much of its own compressed size each template shrinks a block."""
+def regions(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Where the words of notices with cues in these blocks can lie: whole words of AROUND characters about them, as one where they meet."""
+    begin, end = -1, -1
+    for a, b in spans:
+        first, last = max(0, a - AROUND), max(end, min(len(text), b + AROUND))
+        while first > max(0, end) and not text[first - 1].isspace():
+            first -= 1
+        while last < len(text) and not text[last].isspace():
+            last += 1
+        if begin >= 0 and first > end:
+            yield begin, end
+            begin = first
+        begin, end = (first if begin < 0 else begin), max(last, end)
+    if begin >= 0:
+        yield begin, end
+
+
+def reduction(i: int, words: list[str]) -> float:
+    """By how much of its own compressed size a template shrinks these words."""
     raw = " ".join(words).encode()
     alone, given = _compressors()
     size = len(alone.compress(raw))
-    return [(size - len(x.compress(raw))) / size for x in given]
+    return (size - len(given[i].compress(raw))) / size
 
 
 def places(template: tuple[str, ...], words: list[str]) -> Iterator[tuple[float, list[int], list[str]]]:
@@ -181,23 +209,33 @@ def find_licenses(text: str) -> list[tuple]:
     template and place: the one with the largest share, then the fewest
     differences, then the longest wording. A place whose matched words all lie
     within another license's is no notice of its own if the other matches more
-    words, or the same words better.
+    words, or the same words better. Start and end are those of the block, or of
+    the notice where it goes beyond; the reduction is that of the notice's words
+    and of up to BESIDE on each side.
     """
-    out = []
-    for start, end in blocks(text):
-        words = _words(text[start:end])
-        if not words:
-            continue
-        sizes = reductions(words)
-        found = []
+    out, spans = [], blocks(text)
+    for start, end in regions(text, spans):
+        tokens = [(x.group().lower(), x.start(), x.end()) for x in _WORD.finditer(text, start, end)]
+        words = [x for x, _, _ in tokens]
+        found, owners = [], defaultdict(set)
         for i, template in enumerate(_templates()):
-            if sizes[i] > 0:
-                found += [((-share, len(changed), -len(template.words)), template.license, frozenset(at), sizes[i], share, changed) for share, at, changed in places(template.words, words)]
-        best: dict[str, tuple] = {}
+            for share, at, changed in places(template.words, words):
+                for k in at:
+                    owners[k].add(len(found))
+                found.append(((-share, len(changed), -len(template.words)), template.license, frozenset(at), i, share, changed))
+        inside = [k for k, span in enumerate(spans) if start <= span[0] < end]
+        best: dict[tuple[int, str], tuple] = {}
         for x in sorted(found, key=lambda x: x[0]):
-            if x[1] not in best and not any(y[1] != x[1] and (x[2] < y[2] or x[2] == y[2] and y[0][:2] < x[0][:2]) for y in found):
-                best[x[1]] = x
-        out += [(name, start, end, *x[3:]) for name, x in sorted(best.items())]
+            others = [found[k] for k in set.intersection(*(owners[k] for k in x[2]))]
+            if any(y[1] != x[1] and (len(x[2]) < len(y[2]) or y[0][:2] < x[0][:2]) for y in others):
+                continue
+            first, last = min(x[2]), max(x[2])
+            begin, stop = tokens[first][1], tokens[last][2]
+            block = min(inside, key=lambda k: max(spans[k][0] - stop, begin - spans[k][1], 0))
+            if (block, x[1]) not in best:
+                near = words[max(0, first - BESIDE) : last + 1 + BESIDE]
+                best[block, x[1]] = (x[1], min(spans[block][0], begin), max(spans[block][1], stop), reduction(x[3], near), x[4], x[5])
+        out += [best[k] for k in sorted(best)]
     return out
 
 
