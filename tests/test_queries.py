@@ -34,6 +34,14 @@ def test_query_matches_sql(spark, database, name):
         pd.testing.assert_frame_equal(plain(found), plain(database.execute(SQL[name]).df()))
 
 
+def test_tags_are_all_words_of_a_text(spark, tmp_path):
+    many = " ".join(f"{a}{b}" for a in "bcdfghjk" for b in "lmnprstv")
+    texts = [(1, "en", f"{many} the of be is"), (2, "en", many), (3, "de", f"{many} DER"), (4, "en", "the of")]
+    spark.createDataFrame([(i, text, lang, "src1", len(text)) for i, lang, text in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {"where_array_eq": {1, 4}, "where_array_neq": {2, 3}, "where_array_in": {1, 4}, "where_array_not_in": {2, 3}, "where_array_functions": {1}, "where_array_any": {1, 3}}
+    assert {name: {r.id for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in want} == want
+
+
 def test_entry_imports_without_the_optional_part(spark):
     import __spark_entry__ as entry
 

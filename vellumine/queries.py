@@ -159,7 +159,7 @@ _ORDERS_SQL = "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    tags = F.slice(F.array_distinct(F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z ]", " ")), " +")), 1, 50)
+    tags = F.array_distinct(F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z ]", " ")), " +"))
     return d.select(F.col("doc_id").alias("id"), F.struct("lang", tags.alias("tags"), F.col("n_chars").alias("length")).alias("data"))
 
 
