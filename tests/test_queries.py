@@ -42,6 +42,13 @@ def test_tags_are_all_words_of_a_text(spark, tmp_path):
     assert {name: {r.id for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in want} == want
 
 
+def test_links_are_stripped_in_whole_texts(spark, tmp_path):
+    text = "word " * 20 + "and [[a|the first]], ![[b]] and the rest"
+    spark.createDataFrame([(7, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = QUERIES["wikilink_strip"](spark, str(tmp_path)).collect()
+    assert row.text == "see en, the source and 7 " + "word " * 20 + "and the first, b and the rest"
+
+
 def test_entry_imports_without_the_optional_part(spark):
     import __spark_entry__ as entry
 

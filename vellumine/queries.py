@@ -218,7 +218,7 @@ def classify_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wikilink_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("see [["), "lang", F.lit("]], ![["), "source", F.lit("|the source]] and [[x|"), F.col("doc_id").cast("string"), F.lit("]] "), F.substring("text", 1, 40))
+    text = F.concat(F.lit("see [["), "lang", F.lit("]], ![["), "source", F.lit("|the source]] and [[x|"), F.col("doc_id").cast("string"), F.lit("]] "), "text")
     return d.select("doc_id", wikilinks_stripped(text).alias("text"))
 
 
