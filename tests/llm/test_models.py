@@ -133,5 +133,14 @@ def test_notices_in_long_lines_are_found(name):
     assert [(x[0], x[5]) for x in license_scan.find_licenses(f"{prose[0]}\n{wrapped}\n{prose[1]}")] == [("MIT", [])]
 
 
+def test_related_licenses_are_told_apart():
+    gpl = license_scan.TEMPLATES["GPL-3.0"][1]
+    bsd_2 = license_scan.TEMPLATES["BSD-2-Clause"][1]
+    texts = {gpl.replace("General", "Lesser General"): "LGPL-3.0", gpl.replace("General", "Affero General"): "AGPL-3.0", license_scan.TEMPLATES["GPL-2.0"][1].replace("program", "library").replace("General", "Lesser General").replace("version 2 ", "version 2.1 "): "LGPL-2.1", bsd_2: "BSD-2-Clause", license_scan.TEMPLATES["BSD-3-Clause"][1].replace("the copyright holder nor", "Acme Inc. nor"): "BSD-3-Clause", "SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0"}
+    assert {text: [x[0] for x in license_scan.find_licenses(text)] for text in texts} == {text: [name] for text, name in texts.items()}
+    assert [x[0] for x in license_scan.find_licenses("SPDX-License-Identifier: MIT OR Apache-2.0")] == ["Apache-2.0", "MIT"]
+    assert license_scan.find_licenses("SPDX-License-Identifier: CC0-1.0\nMIT") == []
+
+
 def test_lower_ascii():
     assert lower_ascii("ÀAZaz[".encode()) == "Àazaz[".encode()

@@ -25,35 +25,68 @@ from pyspark.sql import types as T
 
 from vellumine.llm.common import arrow_type, small_batches, text_input
 
-#: Notices by license, in the wording that their publishers ask for.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_2 = f"{_BSD} 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = f"{_BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+
+
+def _gnu(name: str, version: str, dated: str, sign: str, what: str = "program") -> tuple[str, ...]:
+    return (
+        f"This work is licensed under the GNU {name}, version {version}.",
+        f"This {what} is free software{sign[0]} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{sign[1]} either version {version} of the License, or (at your option) any later version.",
+        f"GNU {name} Version {version}, {dated}",
+    )
+
+
+def _cc(short: str, long: str) -> tuple[str, ...]:
+    return f"Licensed under CC {short} 4.0.", f"This work is licensed under a Creative Commons {long} 4.0 International License."
+
+
+def _spdx(*names: str) -> tuple[str, ...]:
+    return tuple(f"SPDX-License-Identifier: {x}" for x in names)
+
+
+def _spdx_gnu(name: str) -> tuple[str, ...]:
+    return _spdx(name, f"{name}-only", f"{name}-or-later")
+
+
+#: Notices by license, in the wording that their publishers ask for; the texts of
+#: short licenses, and the titles of long ones. BSD is the sentence that opens
+#: several licenses, without what tells them apart.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", _MIT, f"{_MIT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}", *_spdx("MIT")),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004",
+        *_spdx("Apache-2.0"),
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "GPL-3.0": (*_gnu("General Public License", "3", "29 June 2007", ":,"), *_spdx_gnu("GPL-3.0")),
+    "GPL-2.0": (*_gnu("General Public License", "2", "June 1991", ";;"), *_spdx_gnu("GPL-2.0")),
+    "LGPL-3.0": (*_gnu("Lesser General Public License", "3", "29 June 2007", ":,"), *_spdx_gnu("LGPL-3.0")),
+    "LGPL-2.1": (*_gnu("Lesser General Public License", "2.1", "February 1999", ";;", "library"), *_spdx_gnu("LGPL-2.1")),
+    "LGPL-2.0": (*_gnu("Library General Public License", "2", "June 1991", ";;", "library"), *_spdx_gnu("LGPL-2.0")),
+    "AGPL-3.0": (*_gnu("Affero General Public License", "3", "19 November 2007", ":,"), *_spdx_gnu("AGPL-3.0")),
+    "BSD": (_BSD,),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", f"{_BSD_3} {_BSD_AS_IS}", *_spdx("BSD-3-Clause")),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", f"{_BSD_2} {_BSD_AS_IS}", *_spdx("BSD-2-Clause")),
+    "ISC": ("Licensed under the ISC License.", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", *_spdx("ISC")),
+    "0BSD": (f"{_ISC}.", *_spdx("0BSD")),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", *_spdx("MPL-2.0")),
+    "CC-BY-4.0": (*_cc("BY", "Attribution"), *_spdx("CC-BY-4.0")),
+    "CC-BY-SA-4.0": (*_cc("BY-SA", "Attribution-ShareAlike"), *_spdx("CC-BY-SA-4.0")),
+    "CC-BY-NC-4.0": (*_cc("BY-NC", "Attribution-NonCommercial"), *_spdx("CC-BY-NC-4.0")),
+    "CC-BY-ND-4.0": (*_cc("BY-ND", "Attribution-NoDerivatives"), *_spdx("CC-BY-ND-4.0")),
+    "CC-BY-NC-SA-4.0": (*_cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), *_spdx("CC-BY-NC-SA-4.0")),
+    "CC-BY-NC-ND-4.0": (*_cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"), *_spdx("CC-BY-NC-ND-4.0")),
     "Proprietary": ("All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission."),
 }
+#: Words that make another license of one when they alone stand in between.
+TELLING = ("lesser", "library", "affero")
 CUES = ("licens", "licenc", "copyright", "spdx", "hereby granted", "rights reserved", "redistribut", "free software", "creative commons", "public license", "without warranty")
 #: Lines without a cue that a block may hold between two with one.
 GAP_LINES = 3
@@ -76,6 +109,7 @@ _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 class Template:
     license: str
     words: tuple[str, ...]
+    counts: Counter
     dictionary: zstandard.ZstdCompressionDict
 
 
@@ -85,7 +119,7 @@ def _words(text: str) -> list[str]:
 
 @lru_cache(maxsize=1)
 def _templates() -> list[Template]:
-    return [Template(name, tuple(_words(x)), zstandard.ZstdCompressionDict(" ".join(_words(x)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, texts in TEMPLATES.items() for x in texts]
+    return [Template(name, tuple(_words(x)), Counter(_words(x)), zstandard.ZstdCompressionDict(" ".join(_words(x)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, texts in TEMPLATES.items() for x in texts]
 
 
 @lru_cache(maxsize=1)
@@ -202,6 +236,14 @@ def places(template: tuple[str, ...], words: list[str]) -> Iterator[tuple[float,
             return
 
 
+def another(template: Template, changed: list[str]) -> bool:
+    """Whether the words in between tell that it is another license."""
+    if template.words[0].startswith("spdx-") and changed and changed[-1] not in ("+or", "+and"):
+        return True
+    apart = ["", *changed, ""]
+    return any(x[1:] in TELLING and x[0] == "+" and not before.startswith("+") and not after.startswith("+") for before, x, after in zip(apart, apart[1:-1], apart[2:], strict=False))
+
+
 def find_licenses(text: str) -> list[tuple]:
     """(license, start, end, reduction, share, differing words) of each notice.
 
@@ -217,9 +259,13 @@ def find_licenses(text: str) -> list[tuple]:
     for start, end in regions(text, spans):
         tokens = [(x.group().lower(), x.start(), x.end()) for x in _WORD.finditer(text, start, end)]
         words = [x for x, _, _ in tokens]
-        found, owners = [], defaultdict(set)
+        found, owners, there = [], defaultdict(set), Counter(words)
         for i, template in enumerate(_templates()):
+            if sum(min(k, there[x]) for x, k in template.counts.items()) < LEAST_SHARE * len(template.words):
+                continue
             for share, at, changed in places(template.words, words):
+                if another(template, changed):
+                    continue
                 for k in at:
                     owners[k].add(len(found))
                 found.append(((-share, len(changed), -len(template.words)), template.license, frozenset(at), i, share, changed))
