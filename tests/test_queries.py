@@ -49,6 +49,13 @@ def test_links_are_stripped_in_whole_texts(spark, tmp_path):
     assert row.text == "see en, the source and 7 " + "word " * 20 + "and the first, b and the rest"
 
 
+def test_chunks_that_lose_text_are_told():
+    text = "# One\n\n" + "Some words of *this*. " * 80 + "\n\n# Two\n\nand the last"
+    found = queries.chunks(text, 1024)
+    assert len(found) > 1 and queries.holds_words(text, found)
+    assert not queries.holds_words(text, found[:1]) and not queries.holds_words(text, found[::-1])
+
+
 def test_entry_imports_without_the_optional_part(spark):
     import __spark_entry__ as entry
 

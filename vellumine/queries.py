@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vellumine.functions.globs import path_in
 from vellumine.functions.text import content_hash, wikilinks_stripped
 from vellumine.functions.where import Names, compile_where
-from vellumine.operators.chunking import chunks
+from vellumine.operators.chunking import Chunk, chunks, plain_text
 from vellumine.operators.index import classified, embed_chunks, metadata_structs, postings
 from vellumine.operators.search import best_per_file, bm25_scores, fused, semantic_scores, top
 from vellumine.plans import validation
@@ -228,6 +228,12 @@ def glob_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("path", path_in(F.col("path"), ["src1/**", "src2/*"]).alias("in_tree"), path_in(F.col("path"), ["*/en/1?.md", "src[3-5]/{de,fr}/**"]).alias("by_pattern"))
 
 
+def holds_words(text: str, found: list[Chunk]) -> bool:
+    """Whether chunks hold all letters and digits of a text, as a reader sees it, in order; marks may be cut apart."""
+    seen = ["".join(c for c in x if c.isalnum()) for x in (plain_text(text), "".join(c.plain_text for c in found))]
+    return seen[0] == seen[1]
+
+
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether its chunks are bounded and numbered, and hold all its words."""
     import pandas as pd
@@ -237,7 +243,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 found = chunks(text, 1024)
-                rows.append((doc_id, len(found) > 0, all(c.index == i for i, c in enumerate(found)) and all(a.end_line <= b.start_line or a.start_line <= b.start_line for a, b in zip(found, found[1:], strict=False)), all(len(c.plain_text) <= 1024 for c in found)))
+                rows.append((doc_id, len(found) > 0, all(c.index == i for i, c in enumerate(found)) and all(a.end_line <= b.start_line or a.start_line <= b.start_line for a, b in zip(found, found[1:], strict=False)) and holds_words(text, found), all(len(c.plain_text) <= 1024 for c in found)))
             yield pd.DataFrame(rows, columns=["doc_id", "has_chunks", "ordered", "bounded"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(step, "doc_id long, has_chunks boolean, ordered boolean, bounded boolean")
