@@ -116,10 +116,13 @@ def test_drop_near_duplicates(spark):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0 and ngram_join.drop_near_duplicates(empty(spark)).count() == 0
 
 
-def test_near_vectors(spark, monkeypatch):
+@pytest.mark.parametrize(("whole", "broadcast"), [(10**6, 10**6), (4, 0)])
+def test_near_vectors(spark, monkeypatch, whole, broadcast):
+    from vellumine.llm import common
     from vellumine.llm import near_vectors as module
 
-    monkeypatch.setattr(module, "BLOCK", 16)
+    for owner, name, value in ((module, "BLOCK", 16), (module, "WHOLE", whole), (common, "BROADCAST_ROWS", broadcast), (common, "HOT_ROWS", 10)):
+        monkeypatch.setattr(owner, name, value)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
     vectors = [base[rng.integers(40)] + rng.normal(size=16) * rng.choice([0, 0.05, 0.12, 0.3]) for _ in range(300)] + [base[0]] * 60
@@ -146,6 +149,25 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_whose_squares_overflow(spark):
+    big, small = [1e200, 1e200, 0.0], [1e-200, 1e-200, 0.0]
+    table = spark.createDataFrame([(1, big), (2, small), (3, [0.0, 0.0, 1e-300]), (4, [float("-inf"), 1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(table).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+
+
+def test_hot_join(spark, monkeypatch):
+    from vellumine.llm import common
+
+    for name, value in (("BROADCAST_ROWS", 0), ("HOT_ROWS", 7)):
+        monkeypatch.setattr(common, name, value)
+    rows = [(None if i % 9 == 0 else "hot" if i % 2 else f"k{i % 5}", i) for i in range(100)]
+    side = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, v int")
+    frame_ = spark.createDataFrame(rows, "k string, m int")
+    for how in ("inner", "left"):
+        want = sorted((m, str({"hot": 1, "k1": 2, "k2": 3}.get(k))) for k, m in rows if how == "left" or k in ("hot", "k1", "k2"))
+        assert sorted((r.m, str(r.v)) for r in common.hot_join(frame_, side, "k", "m", Scratch(spark, "test"), "hot", how).collect()) == want
+
+
 def test_recall_is_planned_for():
     for count in (2, 500, 10**5, 10**9):
         bits, tables = tables_for(count, 0.95)

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 #: Rows of one long key that a join side may have to be broadcast: about 100 MB
 #: in an executor. Beyond it the same join is dealt out by key.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key that a task of a join may get; a hotter key is dealt out.
+HOT_ROWS = 100_000
 #: Rows that an Arrow batch of texts holds at most.
 TEXT_BATCH_ROWS = 1000
 
@@ -65,17 +67,35 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is.
+def keyed_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, else as it is.
 
     ``df`` should be a written table: it is counted.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    return bounded_side(df, df.count())
 
 
-def bounded_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_side(df: DataFrame, rows: int) -> DataFrame:
     """As ``keyed_side``, where ``df`` is known to have at most ``rows`` rows."""
-    return F.broadcast(df) if rows <= most else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, member: str, scratch: Scratch, label: str, how: str = "inner") -> DataFrame:
+    """``rows`` with ``side``, a written table of one row a ``key``.
+
+    A side too large for a broadcast is joined by key. Keys of more than
+    ``HOT_ROWS`` rows are dealt out by ``member`` to as many parts as they need,
+    so that no task gets all rows of one.
+    """
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), key, how)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__parts")).where(F.col("__parts") > HOT_ROWS)
+    hot = keyed_side(scratch.write(counted.select(key, F.ceil(F.col("__parts") / HOT_ROWS).cast("int").alias("__parts")), label))
+    # a null key meets nothing, so its rows may go anywhere
+    parts = F.when(F.col(key).isNull(), F.lit(1 << 16)).otherwise(F.coalesce("__parts", F.lit(1)))
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(member), parts).cast("int")).drop("__parts")
+    copied = side.where(F.col(key).isNotNull()).join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))).drop("__parts")
+    return dealt.join(copied, [key, "__part"], how).drop("__part")
 
 
 def crc_of_id(doc_id: str | Column) -> Column:
