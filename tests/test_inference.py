@@ -99,18 +99,18 @@ def test_config_round_trip():
 @pytest.mark.parametrize(
     ("change", "said"),
     [
-        (("ignore = [\"odd\"]", "ignore = [\"a\"]"), "both"),
-        (('name = "a"', 'name = ".a"'), "start"),
-        (('name = "a"', 'name = "b"'), "shape conflict"),
-        (('"x/**"', '"x/y"'), "invalid glob"),
-        (('"x/y/**"', '"z/**"'), "not covered"),
-        (("min_length = 1", "min = 1"), "range constraint"),
-        (("min_length = 1", 'categories = ["a"]'), "combined"),
-        (('"^a"', '"(a"'), "not a valid regex"),
-        (('"^a"', '"(?=a)"'), "look-around"),
-        (('type = "String"', 'type = "Object"'), "invalid type"),
-        (("default_limit", "default_limits"), "unknown key"),
-        (('allowed = ["x/**"]', 'preprocess = ["widen-int-to-float"]\nallowed = ["x/**"]'), "not applicable"),
+        (("ignore = [\"odd\"]", "ignore = [\"a\"]"), "at once"),
+        (('name = "a"', 'name = ".a"'), "dotted name"),
+        (('name = "a"', 'name = "b"'), "values of its own"),
+        (('"x/**"', '"x/y"'), "directory"),
+        (('"x/y/**"', '"z/**"'), "allowed"),
+        (("min_length = 1", "min = 1"), "can't limit"),
+        (("min_length = 1", 'categories = ["a"]'), "nothing for other"),
+        (('"^a"', '"(a"'), "compile"),
+        (('"^a"', '"(?=a)"'), "look neither"),
+        (('type = "String"', 'type = "Object"'), "type can't be read"),
+        (("default_limit", "default_limits"), "no setting"),
+        (('allowed = ["x/**"]', 'preprocess = ["widen-int-to-float"]\nallowed = ["x/**"]'), "doesn't hold"),
     ],
 )
 def test_config_rules(change, said):

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from vellumine.functions.globs import GlobError, covered, glob_matches
 from vellumine.sources import toml_codec as codec
-from vellumine.sources.frontmatter import documents, flatten, leaves, parse_document
+from vellumine.sources.frontmatter import count_lines, documents, flatten, leaves, parse_document, skipped
 from vellumine.sources.listing import list_files, read_files
 
 YAML = "---\ntitle: A\nyear: 2024\nshare: 1.0\nday: 2024-01-15\ndraft: yes\ntags: [a, b]\nn: null\nmeta:\n  x: 1\n---\nBody\n"
@@ -32,8 +32,15 @@ def test_unreadable_frontmatter(raw):
     assert row["data"] is None and row["frontmatter_error"]
 
 
+def test_lines_and_repeated_names():
+    assert [count_lines(x) for x in ("", "a", "a\n", "a\nb", "\n\n", "a\u2028b\x0bc")] == [0, 1, 1, 2, 2, 1]
+    row = parse_document("a.md", '{"a.b": 1, "a": {"b": 2}}\n\nx\n\n')
+    assert [(x["field"], x["first"]) for x in row["leaves"]] == [("a.b", True), ("a", True), ("a.b", False)] and row["body_line_offset"] == 3
+    assert parse_document("b.md", "\n\n--- \na: 1\n---\r\nx")["data"] == '{"a":1}' and parse_document("c.md", "---\na: 1\n--\n")["data"] is None
+
+
 def test_forced_format():
-    assert "mismatch" in parse_document("x.md", YAML, "toml")["frontmatter_error"]
+    assert "asked for" in parse_document("x.md", YAML, "toml")["frontmatter_error"]
     assert parse_document("x.md", TOML, "toml")["frontmatter_error"] is None
 
 
@@ -63,6 +70,9 @@ def test_listing(spark, tmp_path):
     (tmp_path / "bad.md").write_bytes(b"\xff\xfe")
     docs = documents(read_files(spark, str(tmp_path), list_files(str(tmp_path))))
     assert docs.count() == 5
+    (tmp_path / "deep.md").write_text('{"a":' * 60 + "1" + "}" * 60)
+    left_out = skipped(read_files(spark, str(tmp_path), [*list_files(str(tmp_path)), "gone.md"])).collect()
+    assert sorted((r.path, r.reason.split(":")[0]) for r in left_out) == [("bad.md", "not UTF-8"), ("deep.md", "nested deeper than 50"), ("gone.md", "unreadable")]
     assert documents(read_files(spark, str(tmp_path), [".hid.md", "a.md"]), include_bare_files=False).count() == 1
     assert {r.field for r in leaves(docs).where("path = 'sub/c.markdown'").collect()} == {"title", "year", "built", "meta.x"}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -100,7 +101,7 @@ FIELD_KEYS = ("name", "type", "allowed", "required", "nullable", "constraints",
 def _known(found: dict[str, Any], keys: tuple[str, ...], where: str) -> dict[str, Any]:
     for key in found:
         if key not in keys:
-            raise ConfigError(f"unknown key '{key}' in {where}")
+            raise ConfigError(f"{where} has no setting '{key}'")
     return found
 
 
@@ -108,17 +109,17 @@ def parse_config(text: str) -> Config:
     try:
         given = tomllib.loads(text)
     except tomllib.TOMLDecodeError as error:
-        raise ConfigError(f"failed to parse configuration: {error}") from error
+        raise ConfigError(f"{CONFIG_NAME} isn't TOML: {error}") from error
     _known(given, (*SECTIONS, "default_output_format"), "the configuration")
     part = {k: _known(given.get(k, {}), keys, f"[{k}]") for k, keys in SECTIONS.items()}
     for needed in ("scan", "fields"):
         if needed not in given:
-            raise ConfigError(f"missing section [{needed}]")
+            raise ConfigError(f"{CONFIG_NAME} needs a section [{needed}]")
     fields = []
     for x in part["fields"].get("field", []):
         own = dict(_known(x, FIELD_KEYS, "[[fields.field]]"))
         if "name" not in own:
-            raise ConfigError("a field has no name")
+            raise ConfigError("a field needs a name")
         if (limits := own.get("constraints")) is not None:
             own["constraints"] = Constraints(**_known(limits, tuple(Constraints().__dict__), "constraints"))
         fields.append(Field(**own))
@@ -139,7 +140,7 @@ def parse_config(text: str) -> Config:
         try:
             x.type = parse_type(x.type)
         except FieldTypeError as error:
-            raise ConfigError(f"field '{x.name}': invalid type: {error}") from error
+            raise ConfigError(f"field '{x.name}': its type can't be read: {error}") from error
     return config
 
 
@@ -177,9 +178,9 @@ def config_text(config: Config) -> str:
 def read_config(path: str | Path) -> Config:
     path = Path(path)
     if not path.parent.exists():
-        raise ConfigError(f"directory '{path.parent}' does not exist")
+        raise ConfigError(f"there is no directory '{path.parent}'")
     if not path.exists():
-        raise ConfigError(f"{path.name} not found in '{path.parent}': initialise the vault first")
+        raise ConfigError(f"'{path.parent}' holds no {path.name} yet: init writes one")
     return parse_config(path.read_text(encoding="utf-8"))
 
 
@@ -188,87 +189,91 @@ def write_config(config: Config, path: str | Path) -> None:
     Path(path).write_text(config_text(config), encoding="utf-8")
 
 
-def check_name(name: str) -> None:
+_NUMBERS, _TEXTS = ("Integer", "Float"), ("String",)
+#: The types, or element types, that each constraint is made for.
+_MADE_FOR = {"categories": ("String", "Integer", "Date", "DateTime"), "min": _NUMBERS, "max": _NUMBERS, "min_length": _TEXTS, "max_length": _TEXTS, "pattern": _TEXTS}
+_STEP_TYPES = {COERCE: "String", WIDEN: "Float"}
+
+
+def _name_faults(name: str) -> Iterator[str]:
     if not name:
-        raise ConfigError("field name cannot be empty")
-    for wrong, said in ((name.startswith("."), "cannot start with '.'"), (name.endswith("."), "cannot end with '.'"), (".." in name, "contains an empty segment between dots")):
-        if wrong:
-            raise ConfigError(f"field name '{name}' {said}")
+        yield "a field needs a name"
+    elif not all(name.split(".")):
+        yield f"'{name}' is no dotted name: each of its parts needs a letter at least"
 
 
-def check_constraints(name: str, kind: str, limits: Constraints) -> None:
-    base = element(kind) or kind
-    given = limits.given()
-    if limits.categories is not None and len(given) > 1:
-        raise ConfigError(f"field '{name}': categories cannot be combined with other constraints")
+def _constraint_faults(kind: str, limits: Constraints) -> Iterator[str]:
+    base, given = element(kind) or kind, limits.given()
+    for key in given:
+        if base not in _MADE_FOR[key]:
+            yield f"'{key}' can't limit {kind} values"
     if limits.categories is not None:
-        if base not in ("String", "Integer", "Date", "DateTime"):
-            raise ConfigError(f"field '{name}': categories constraint does not apply to {kind} fields")
+        if len(given) > 1:
+            yield "a list of categories leaves nothing for other constraints to limit"
         if not limits.categories:
-            raise ConfigError(f"field '{name}': categories list must not be empty")
-        wanted = int if base == "Integer" else str
-        for i, x in enumerate(limits.categories):
-            if not isinstance(x, wanted) or isinstance(x, bool):
-                raise ConfigError(f"field '{name}': category value at index {i} ({x}) does not match field type {'Integer' if wanted is int else 'String'}")
-    if limits.min is not None or limits.max is not None:
-        if base not in ("Integer", "Float"):
-            raise ConfigError(f"field '{name}': range constraint does not apply to {kind} fields")
-        for which, x in (("min", limits.min), ("max", limits.max)):
-            if x is not None and (isinstance(x, bool) or not isinstance(x, int | float)):
-                raise ConfigError(f"field '{name}': {which} must be a numeric value")
-            if isinstance(x, float) and base == "Integer":
-                raise ConfigError(f"field '{name}': {which} is a float but field type is Integer")
-        if limits.min is not None and limits.max is not None and limits.min > limits.max:
-            raise ConfigError(f"field '{name}': min ({limits.min}) is greater than max ({limits.max})")
-    if limits.min_length is not None or limits.max_length is not None:
-        if base != "String":
-            raise ConfigError(f"field '{name}': length constraint does not apply to {kind} fields")
-        if limits.min_length is not None and limits.max_length is not None and limits.min_length > limits.max_length:
-            raise ConfigError(f"field '{name}': min_length ({limits.min_length}) is greater than max_length ({limits.max_length})")
+            yield "'categories' lists no value"
+        whole = base == "Integer"
+        for x in limits.categories:
+            if isinstance(x, bool) or not isinstance(x, int if whole else str):
+                yield f"{x!r} among the categories is no {'whole number' if whole else 'text'}"
+    for key in ("min", "max"):
+        x = given.get(key)
+        if isinstance(x, bool) or not isinstance(x, int | float | None):
+            yield f"'{key}' takes a number"
+        elif base == "Integer" and isinstance(x, float):
+            yield f"'{key}' of whole numbers can't be {x}"
+    for low, high in (("min", "max"), ("min_length", "max_length")):
+        if low in given and high in given and all(isinstance(given[k], int | float) for k in (low, high)) and given[low] > given[high]:
+            yield f"no value lies between '{low}' {given[low]} and '{high}' {given[high]}"
     if limits.pattern is not None:
-        if base != "String":
-            raise ConfigError(f"field '{name}': pattern constraint does not apply to {kind} fields")
         if re.search(r"\(\?[=!<]|\\[1-9]", limits.pattern):
-            raise ConfigError(f"field '{name}': pattern uses look-around or a back-reference")
+            yield "'pattern' may look neither around nor back"
         try:
             re.compile(limits.pattern)
         except re.error as error:
-            raise ConfigError(f"field '{name}': pattern is not a valid regex: {error}") from error
+            yield f"'pattern' doesn't compile ({error})"
 
 
-def check_config(config: Config) -> None:
-    """Raise for the first rule that is broken."""
+def _field_faults(x: Field) -> Iterator[str]:
+    try:
+        parse_type(x.type)
+    except FieldTypeError as error:
+        yield f"its type can't be read: {error}"
+        return
+    for glob in (*x.allowed, *x.required):
+        if not well_formed(glob):
+            yield f"'{glob}' should be *, ** or a directory with /* or /** behind it"
+    for glob in x.required:
+        if not covered(glob, x.allowed):
+            yield f"it is due in '{glob}', where it isn't allowed"
+    if x.constraints is not None:
+        yield from _constraint_faults(x.type, x.constraints)
+    for i, step in enumerate(x.preprocess):
+        if step in x.preprocess[:i]:
+            yield f"'{step}' is listed twice"
+        elif step not in _STEP_TYPES:
+            yield f"there is no preprocessing '{step}' (there are {', '.join(_STEP_TYPES)})"
+        elif (element(x.type) or x.type) != _STEP_TYPES[step]:
+            yield f"'{step}' makes {_STEP_TYPES[step]} values, which {x.type} doesn't hold"
+
+
+def faults(config: Config) -> Iterator[str]:
+    """Every rule that a configuration breaks, as a sentence."""
     names = {x.name for x in config.fields}
-    for name in config.ignore:
-        if name in names:
-            raise ConfigError(f"field '{name}' is both ignored and declared: remove it from one")
-    for x in config.fields:
-        check_name(x.name)
-        try:
-            parse_type(x.type)
-        except FieldTypeError as error:
-            raise ConfigError(f"field '{x.name}': {error}") from error
-        for glob in (*x.allowed, *x.required):
-            if not well_formed(glob):
-                raise ConfigError(f"field '{x.name}': invalid glob pattern '{glob}': it must end with /* or /**, or be * or **")
-        for glob in x.required:
-            if not covered(glob, x.allowed):
-                raise ConfigError(f"field '{x.name}': required glob '{glob}' is not covered by any allowed pattern")
-        if x.constraints is not None:
-            check_constraints(x.name, x.type, x.constraints)
-        if len(set(x.preprocess)) < len(x.preprocess):
-            raise ConfigError(f"field '{x.name}': duplicate preprocess")
-        for stage in x.preprocess:
-            base = {COERCE: "String", WIDEN: "Float"}.get(stage)
-            if base is None:
-                raise ConfigError(f"field '{x.name}': unknown preprocess '{stage}'")
-            if (element(x.type) or x.type) != base:
-                raise ConfigError(f"field '{x.name}': preprocess '{stage}' is not applicable to type {x.type}")
+    yield from (f"'{name}' can't be declared and ignored at once" for name in config.ignore if name in names)
     for x in config.fields:
+        yield from _name_faults(x.name)
+        yield from (f"field '{x.name}': {said}" for said in _field_faults(x))
         parts = x.name.split(".")
-        for i in range(1, len(parts)):
-            if ".".join(parts[:i]) in names:
-                raise ConfigError(f"shape conflict: '{'.'.join(parts[:i])}' is declared both as a leaf and as a parent of nested leaves (as '{x.name}')")
+        above = next((y for i in range(1, len(parts)) if (y := ".".join(parts[:i])) in names), None)
+        if above:
+            yield f"'{above}' can't hold values of its own and '{x.name}' too"
+
+
+def check_config(config: Config) -> None:
+    """Raise for the first rule that is broken."""
+    for said in faults(config):
+        raise ConfigError(said)
 
 
 def from_inferred(schema: InferredSchema, scan: Scan | None = None) -> Config:
@@ -327,7 +332,7 @@ def reinfer(config: Config, schema: InferredSchema, targets: list[str] | None =
     declared = {x.name: x for x in config.fields}
     for name in targets or ():
         if name not in declared:
-            raise ConfigError(f"field '{name}' is not declared")
+            raise ConfigError(f"no field '{name}' is declared")
     chosen = set(declared) | set(inferred) if targets is None else set(targets)
     fields = [x for x in config.fields if x.name not in chosen]
     for name in sorted(chosen & inferred.keys() - set(config.ignore)):
@@ -338,12 +343,12 @@ def reinfer(config: Config, schema: InferredSchema, targets: list[str] | None =
 
 
 def name_hints(name: str) -> list[str]:
-    """How a name has to be written in a predicate."""
+    """What in a name needs care in a predicate, and which."""
     out = []
     if "'" in name:
-        out.append("contains a single quote: write it in double quotes")
+        out.append("an apostrophe: only inside double quotes")
     if '"' in name:
-        out.append('contains a double quote: write it in double quotes and double the quote ("")')
+        out.append('a quotation mark: doubled, inside double quotes')
     if " " in name:
-        out.append("contains a space: write it in double quotes")
+        out.append("a blank: only inside double quotes")
     return out

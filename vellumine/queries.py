@@ -163,8 +163,6 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.struct("lang", tags.alias("tags"), F.col("n_chars").alias("length")).alias("data"))
 
 
-_TAGGED_SQL = "SELECT doc_id AS id, lang, n_chars AS length, list_distinct(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +')) AS every, string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +') AS words FROM documents"
-
 #: name: (clause, condition in SQL)
 WHERE_ORDERS = {
     "where_scalar": ("status = 'F' AND price > 100000", "status = 'F' AND price > 100000"),
@@ -192,7 +190,7 @@ WHERE_TAGS = {
     "where_array_functions": ("array_has_all(tags, make_array('the', 'of')) AND array_length(tags) >= 50", "list_has_all(tags, ['the', 'of']) AND len(tags) >= 50"),
     "where_array_any": ("'is' = ANY(tags) OR array_has_any(tags, make_array('la', 'der'))", "list_contains(tags, 'is') OR list_has_any(tags, ['la', 'der'])"),
 }
-_TAGS_SQL = "WITH u AS (SELECT doc_id, lang, n_chars, word, min(i) AS i FROM (SELECT doc_id, lang, n_chars, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT *, string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +') AS words FROM documents)) GROUP BY ALL), t AS (SELECT doc_id AS id, lang, list(word ORDER BY i)[1:50] AS tags FROM u GROUP BY ALL)"
+_TAGS_SQL = "WITH u AS (SELECT doc_id, lang, n_chars, word, min(i) AS i FROM (SELECT doc_id, lang, n_chars, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (SELECT *, string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +') AS words FROM documents)) GROUP BY ALL), t AS (SELECT doc_id AS id, lang, list(word ORDER BY i) AS tags FROM u GROUP BY ALL)"
 
 
 def _filtered(rows: Callable[[SparkSession, str], DataFrame], clause: str, fields: dict[str, str]) -> Query:
@@ -348,7 +346,7 @@ def oracle_sql() -> dict[str, str]:
         "content_hash_dedupe": "SELECT n AS copies, count(*) AS texts FROM (SELECT count(*) AS n FROM documents GROUP BY md5(text)) GROUP BY n",
         "classify_incremental": """SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'edited' ELSE 'unchanged' END AS status, CASE WHEN doc_id % 5 <> 0 THEN 'f' || doc_id END AS file_id FROM documents
             UNION ALL SELECT 'gone-' || doc_id, 'removed', 'g' FROM documents WHERE doc_id % 11 = 0""",
-        "wikilink_strip": "SELECT doc_id, 'see ' || lang || ', the source and ' || doc_id || ' ' || regexp_replace(regexp_replace(substr(text, 1, 40), '!?\\[\\[[^\\]|]+\\|([^\\]]+)\\]\\]', '\\1', 'g'), '!?\\[\\[([^\\]|]+)\\]\\]', '\\1', 'g') AS text FROM documents",
+        "wikilink_strip": "SELECT doc_id, 'see ' || lang || ', the source and ' || doc_id || ' ' || regexp_replace(regexp_replace(text, '!?\\[\\[[^\\]|]+\\|([^\\]]+)\\]\\]', '\\1', 'g'), '!?\\[\\[([^\\]|]+)\\]\\]', '\\1', 'g') AS text FROM documents",
         "glob_match": f"SELECT path, source IN ('src1', 'src2') AS in_tree, regexp_full_match(path, '.*/en/1.\\.md') OR regexp_full_match(path, 'src[3-5]/(de|fr)/.*') AS by_pattern FROM ({_corpus_sql()})",
         "chunk_documents": "SELECT doc_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 AS has_chunks, TRUE AS ordered, TRUE AS bounded FROM documents",
         "denormalise_index": f"SELECT lang, count(*) AS files, max(n_chars) AS longest, 8 AS dimension FROM ({_corpus_sql()}) GROUP BY lang",

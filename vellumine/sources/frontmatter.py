@@ -13,15 +13,18 @@ import tomllib
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vellumine.types import finite, json_text, type_of
 
 FORMATS = ("auto", "yaml", "toml", "json")
 MOST_BYTES, MOST_FIELDS, MOST_DEPTH = 100 * 1024 * 1024, 1000, 50
-DOCUMENT = "path string, data string, frontmatter_error string, content string, body_line_offset int, skip_reason string, leaves array<struct<field: string, type: string, value: string, text: string, is_null: boolean, items: array<struct<type: string, value: string, text: string>>>>"
+_VALUE = "type: string, value: string, text: string"
+DOCUMENT = f"path string, data string, frontmatter_error string, content string, body_line_offset int, skip_reason string, leaves array<struct<field: string, {_VALUE}, is_null: boolean, items: array<struct<{_VALUE}>>, first: boolean>>"
 _FENCES = {"---": "yaml", "+++": "toml"}
 
 
@@ -31,7 +34,7 @@ def _yaml_loader():
     except ImportError as error:  # an optional dependency
         raise RuntimeError("YAML frontmatter needs PyYAML") from error
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """JSON's scalar types only: dates stay text, and so do yes, no, on and off."""
 
     kept = {}
@@ -63,22 +66,35 @@ def _load_yaml(text: str) -> Any:
     return _LOAD["yaml"](text)
 
 
+def _lines(text: str, at: int = 0) -> Iterator[tuple[int, int]]:
+    """Where lines begin and end, line feeds included, read only as far as asked for."""
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        yield at, end
+        at = end
+
+
+def _first_line(raw: str) -> tuple[int, int]:
+    """The first line that isn't blank."""
+    return next(((a, b) for a, b in _lines(raw) if not raw[a:b].isspace()), (0, 0))
+
+
+def count_lines(text: str) -> int:
+    return text.count("\n") + (text[-1:] not in ("", "\n"))
+
+
 def detect_format(raw: str) -> str | None:
     """By the first line that isn't blank; None for a bare file."""
-    first = next((x for x in raw.splitlines() if x.strip()), "").rstrip()
-    return _FENCES.get(first) or ("json" if first.lstrip().startswith("{") else None)
+    a, b = _first_line(raw)
+    return _FENCES.get(raw[a:b].rstrip()) if b - a < 100 and raw[a : a + 1] in "-+" else "json" if raw[a:b].lstrip().startswith("{") else None
 
 
 def _fenced(raw: str, fence: str) -> tuple[str, str] | None:
     """What stands between two fence lines, and what follows."""
-    lines = raw.splitlines(keepends=True)
-    at = next((i for i, x in enumerate(lines) if x.strip()), None)
-    if at is None or lines[at].rstrip() != fence:
-        return None
-    end = next((i for i in range(at + 1, len(lines)) if lines[i].rstrip() == fence), None)
-    if end is None:
+    a, b = _first_line(raw)
+    if raw[a:b].rstrip() != fence:
         return None
-    return "".join(lines[at + 1 : end]), "".join(lines[end + 1 :])
+    return next(((raw[b:start], raw[end:]) for start, end in _lines(raw, b) if raw.startswith(fence, start) and raw[start:end].rstrip() == fence), None)
 
 
 def _plain(value: Any) -> Any:
@@ -105,13 +121,12 @@ def parse_frontmatter(raw: str, kind: str) -> tuple[dict | None, str, str | None
             if value is None:
                 return None, body, None
     except Exception as error:  # parsers raise kinds of their own
-        name = "JSON frontmatter" if kind == "json" else "frontmatter"
-        return None, raw, f"invalid {name}: {' '.join(str(error).split())}"
+        return None, raw, f"{kind.upper()} that can't be read: {' '.join(str(error).split())}"
     if not isinstance(value, dict):
         name = {"Boolean": "boolean", "Integer": "number", "Float": "number"}.get(type_of(value), "array" if isinstance(value, list) else "string")
-        return None, body, f"frontmatter must be a key-value map, got {name}"
+        return None, body, f"names with values are expected, and here is a {name}"
     if not finite(value):
-        return None, body, "frontmatter not representable as JSON: a key that isn't text, or a number that isn't finite"
+        return None, body, "JSON has no names but texts, and no numbers that aren't finite"
     return value, body, None
 
 
@@ -141,18 +156,21 @@ def _told(value: Any) -> dict:
     return {"type": "Null" if value is None else type_of(value), "value": json_text(value), "text": value if isinstance(value, str) else json_text(value)}
 
 
-def leaf_row(name: str, value: Any) -> dict:
+def leaf_row(name: str, value: Any, first: bool = True) -> dict:
     """A leaf with its type told, and its elements if it is an array."""
-    return {"field": name, **_told(value), "is_null": value is None, "items": [_told(x) for x in value] if isinstance(value, list) else None}
+    return {"field": name, **_told(value), "is_null": value is None, "items": [_told(x) for x in value] if isinstance(value, list) else None, "first": first}
 
 
 def parse_document(path: str, raw: str, frontmatter_format: str = "auto") -> dict:
-    """One row of the document relation."""
+    """One row of the document relation.
+
+    ``first`` is false for leaves that share their dotted name with one before.
+    """
     found = detect_format(raw)
     row: dict[str, Any] = {"path": path, "data": None, "frontmatter_error": None, "skip_reason": None, "leaves": []}
     data, body, error = None, raw, None
     if frontmatter_format != "auto" and found not in (None, frontmatter_format):
-        error = f"frontmatter format mismatch: expected {frontmatter_format}, found {found}"
+        error = f"{frontmatter_format} frontmatter was asked for, and this is {found}"
     elif (kind := found if frontmatter_format == "auto" else frontmatter_format) and not (found is None and kind == "json" and not raw.strip()):
         data, body, error = parse_frontmatter(raw, kind)
     if data is not None and len(data) > MOST_FIELDS:
@@ -160,34 +178,57 @@ def parse_document(path: str, raw: str, frontmatter_format: str = "auto") -> dic
     elif data is not None and _deeper(data, MOST_DEPTH):
         row["skip_reason"] = f"nested deeper than {MOST_DEPTH}"
     content = body.strip()
-    row |= {"frontmatter_error": error, "content": content, "body_line_offset": len(raw.splitlines()) - len(content.splitlines())}
+    row |= {"frontmatter_error": error, "content": content, "body_line_offset": count_lines(raw) - count_lines(content)}
     if data is not None and row["skip_reason"] is None:
         row["data"] = json_text(data)
-        row["leaves"] = [leaf_row(k, v) for k, v in flatten(data, objects=True)]
+        seen: set[str] = set()
+        for name, value in flatten(data, objects=True):
+            row["leaves"].append(leaf_row(name, value, name not in seen))
+            seen.add(name)
     return row
 
 
-def documents(raw: DataFrame, frontmatter_format: str = "auto", include_bare_files: bool = True) -> DataFrame:
-    """``raw`` (path, raw) as the document relation, without skipped rows.
-
-    A null text counts as empty. Rows that repeat a path stay as they are.
-    """
+def parsed(raw: DataFrame, frontmatter_format: str = "auto", body: bool = True) -> DataFrame:
+    """Every row of ``raw`` (path, raw, and maybe skip_reason), also those that ``documents`` skips."""
     if frontmatter_format not in FORMATS:
         raise ValueError(f"unknown frontmatter format '{frontmatter_format}'")
+    schema = T._parse_datatype_string(DOCUMENT)
+    arrow = to_arrow_schema(schema)
+    columns = ["path", "raw", "skip_reason"] if "skip_reason" in raw.columns else ["path", "raw"]
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse_document(p, r or "", frontmatter_format) for p, r in zip(batch["path"], batch["raw"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "data", "frontmatter_error", "content", "body_line_offset", "skip_reason", "leaves"])
+            rows = [parse_document(p, r or "", frontmatter_format) for p, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if len(columns) > 2:
+                for row, reason in zip(rows, batch.column(2).to_pylist(), strict=True):
+                    row["skip_reason"] = reason or row["skip_reason"]
+            if not body:
+                for row in rows:
+                    row["content"] = None
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name] for row in rows], f.type) for f in arrow], schema=arrow)
+
+    return raw.select(*columns).mapInArrow(step, schema)
 
-    found = raw.select("path", "raw").mapInPandas(step, DOCUMENT).where("skip_reason is null").drop("skip_reason")
+
+def documents(raw: DataFrame, frontmatter_format: str = "auto", include_bare_files: bool = True, body: bool = True) -> DataFrame:
+    """``raw`` (path, raw) as the document relation, without skipped rows.
+
+    A null text counts as empty. Rows that repeat a path stay as they are. Without
+    ``body`` the content is null, for callers that need frontmatter only.
+    """
+    found = parsed(raw, frontmatter_format, body).where("skip_reason is null").drop("skip_reason")
     if include_bare_files:
         return found
     return found.where(F.col("data").isNotNull() | F.col("frontmatter_error").isNotNull())
 
 
+def skipped(raw: DataFrame, frontmatter_format: str = "auto") -> DataFrame:
+    """(path, reason) of the rows that ``documents`` leaves out, for warnings."""
+    return parsed(raw, frontmatter_format, body=False).where("skip_reason is not null").select("path", F.col("skip_reason").alias("reason"))
+
+
 def leaves(docs: DataFrame) -> DataFrame:
-    """(path, field, type, value, text, is_null, items): a row per leaf of each document."""
+    """(path, field, type, value, text, is_null, items, first): a row per leaf of each document."""
     return nodes(docs).where("type <> 'Object'")
 
 

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumine.functions.globs import glob_matches, glob_regex
@@ -77,21 +78,25 @@ def list_files(root: str, glob: str = "**", skip_gitignore: bool = False, ignore
 
 
 def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(path, raw) of readable UTF-8 files of at most 100 MB; others are left out."""
+    """(path, raw, skip_reason): texts, or why a file can't be read as UTF-8 of at most 100 MB."""
     files = spark.createDataFrame(pd.DataFrame({"path": pd.Series(paths, dtype=str)}), "path string")
     files = files.repartition(max(1, min(len(paths) // 64, 10_000)))
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(path: str) -> tuple[str, str | None, str | None]:
+        whole = os.path.join(root, path)
+        try:
+            if os.path.getsize(whole) > MOST_BYTES:
+                return path, None, f"larger than {MOST_BYTES} bytes"
+            with open(whole, encoding="utf-8", newline="") as file:
+                return path, file.read(), None
+        except UnicodeDecodeError:
+            return path, None, "not UTF-8"
+        except OSError as error:
+            return path, None, f"unreadable: {error.strerror}"
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                whole = os.path.join(root, path)
-                try:
-                    if os.path.getsize(whole) <= MOST_BYTES:
-                        with open(whole, encoding="utf-8", newline="") as file:
-                            rows.append((path, file.read()))
-                except (OSError, UnicodeDecodeError):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "raw"])
-
-    return files.mapInPandas(step, "path string, raw string")
+            columns = zip(*map(read, batch.column("path").to_pylist()), strict=True) if batch.num_rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], ["path", "raw", "skip_reason"])
+
+    return files.mapInArrow(step, "path string, raw string, skip_reason string")
