@@ -132,6 +132,15 @@ def test_report(spark):
     assert json.loads(report.violations_text(groups, "json"))[1]["files"][0] == {"path": "a.md", "detail": "got Integer"}
     for form in report.FORMS:
         assert "WrongType" in report.violations_text(groups, form, verbose=True)
+    (short,) = [g for g in validation.report(found, 1).collect() if g.kind == "WrongType"]
+    assert ([x.path for x in short.files], short.n) == (["a.md"], 2) and "(1 more)" in report.violations_text([short], verbose=True)
+
+
+def test_documents_are_parsed_once(spark):
+    docs = rows(spark, a={"x": 1, "y": None}, b={"z": "q"})
+    plan = validation.violations(docs, cfg.Config(fields=[cfg.Field("x", required=["**"], constraints=cfg.Constraints(pattern="^a")), cfg.Field("y", allowed=["p/**"], nullable=False)]))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "Union" not in text
 
 
 def test_chunks():

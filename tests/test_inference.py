@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 
 from vellumine.plans import config as cfg
 from vellumine.plans import jsonschema
 from vellumine.plans.inference import categories, infer, preprocess_for, value_ranges
-from vellumine.plans.paths import build_tree, infer_globs
+from vellumine.plans.paths import directory_counts, field_globs
 from vellumine.sources.frontmatter import documents, leaves
 
 
@@ -13,14 +14,32 @@ def vault(spark, files):
     return documents(spark.createDataFrame([(p, x if isinstance(x, str) else json.dumps(x) + "\nbody") for p, x in files.items()], "path string, raw string"))
 
 
-def globs(files):
-    counts, having = {}, {}
+def globs(spark, files):
+    rows = [(p, [(x, "String", True) for x in names]) for p, names in files.items()]
+    counts = directory_counts(spark.createDataFrame(rows, "path string, leaves array<struct<field: string, type: string, first: boolean>>"))
+    return {r.field: (r.allowed, r.required) for r in field_globs(counts).collect()}
+
+
+def walked(files):
+    """The same by the definition: sets of a directory are what all of its parts share."""
+    groups, nodes = {}, {""}
     for path, names in files.items():
-        where = path.rpartition("/")[0]
-        counts[where] = counts.get(where, 0) + 1
-        for x in names:
-            having[where, x] = having.get((where, x), 0) + 1
-    return infer_globs(build_tree(counts, having))
+        groups.setdefault(path.rpartition("/")[0], []).append(set(names))
+    for at in groups:
+        parts = at.split("/") if at else []
+        nodes |= {"/".join(parts[:i]) for i in range(len(parts) + 1)}
+    below = {n: [g for g in groups if n in ("", g) or g.startswith(f"{n}/")] for n in nodes}
+    sets = {"ever": {g: set.union(*x) for g, x in groups.items()}, "always": {g: set.intersection(*x) for g, x in groups.items()}}
+    out = {}
+    for name in set.union(*sets["ever"].values()):
+        found = []
+        for kind in ("ever", "always"):
+            full = {n for n in nodes if all(name in sets[kind][g] for g in below[n])}
+            top = {n for n in full if n == "" or n.rpartition("/")[0] not in full}
+            deep = {f"{n}/**".lstrip("/") for n in top}
+            found.append(sorted(deep | ({f"{g}/*".lstrip("/") for g in groups if name in sets[kind][g] and g not in full} if kind == "ever" else set())))
+        out[name] = tuple(found)
+    return out
 
 
 @pytest.mark.parametrize(
@@ -33,8 +52,16 @@ def globs(files):
         ({"readme": ["title", "featured"], "blog/a": ["title"]}, "featured", ["*"], []),
     ],
 )
-def test_globs(files, field, allowed, required):
-    assert globs(files)[field] == (allowed, required)
+def test_globs(spark, files, field, allowed, required):
+    assert globs(spark, files)[field] == walked(files)[field] == (allowed, required)
+
+
+def test_globs_of_deep_trees(spark):
+    rng = random.Random(3)
+    for _ in range(3):
+        files = {"/".join(rng.choice("abc") for _ in range(rng.randrange(5))) + f"/f{i}": [x for x in "xyz" if rng.random() < 0.8] for i in range(60)}
+        files = {p.lstrip("/"): names for p, names in files.items()}
+        assert globs(spark, files) == walked(files)
 
 
 def test_values_and_types(spark):

@@ -29,9 +29,20 @@ def table(rows: Sequence[Any], columns: Sequence[str], form: str = "pretty") ->
 
 
 def violations_text(groups: Sequence[Any], form: str = "pretty", verbose: bool = False) -> str:
-    """Grouped violations: a line each, and their files if ``verbose``."""
+    """Grouped violations: a line each, and the first of their files if ``verbose``."""
     if form == "json":
-        return json.dumps([{"field": g["field"], "kind": g["kind"], "rule": g["rule"], "files": [{"path": f["path"], "detail": f["detail"]} for f in g["files"]]} for g in groups], ensure_ascii=False, indent=2)
+        return json.dumps([{"field": g["field"], "kind": g["kind"], "rule": g["rule"], "n": g["n"], "files": [{"path": f["path"], "detail": f["detail"]} for f in g["files"]]} for g in groups], ensure_ascii=False, indent=2)
     if not verbose:
-        return table([{"field": g["field"], "kind": g["kind"], "rule": g["rule"], "files": len(g["files"])} for g in groups], ["field", "kind", "rule", "files"], form)
-    return table([{"field": g["field"], "kind": g["kind"], "rule": g["rule"], "path": f["path"], "detail": f["detail"]} for g in groups for f in g["files"]], ["field", "kind", "rule", "path", "detail"], form)
+        return table([{"field": g["field"], "kind": g["kind"], "rule": g["rule"], "files": g["n"]} for g in groups], ["field", "kind", "rule", "files"], form)
+    rows = []
+    for g in groups:
+        own = {"field": g["field"], "kind": g["kind"], "rule": g["rule"]}
+        rows += [own | {"path": f["path"], "detail": f["detail"]} for f in g["files"]]
+        if g["n"] > len(g["files"]):
+            rows.append(own | {"path": f"({g['n'] - len(g['files'])} more)", "detail": None})
+    return table(rows, ["field", "kind", "rule", "path", "detail"], form)
+
+
+def steps_text(steps: Sequence[Any], form: str = "pretty") -> str:
+    """What a command did, a line per step with its time and whether it failed."""
+    return table([{"step": x.name, "seconds": round(x.seconds, 3), "outcome": "failed" if x.failed else "done"} for x in steps], ["step", "seconds", "outcome"], form)

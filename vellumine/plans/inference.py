@@ -8,7 +8,8 @@ only fields with few values bring them to the driver.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -16,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.plans.paths import build_tree, directory_fields, infer_globs
+from vellumine.plans.paths import directory_counts, field_globs
 from vellumine.sources.frontmatter import leaves
 from vellumine.types import element, widen_all
 
@@ -50,7 +51,7 @@ def field_types(found: DataFrame) -> DataFrame:
     return found.groupBy("field").agg(
         F.sort_array(F.collect_set(F.when(~F.col("is_null"), F.col("type")))).alias("observed"),
         F.max("is_null").alias("nullable"),
-        F.countDistinct("path").alias("files"),
+        F.count_if("first").alias("files"),
     )
 
 
@@ -82,41 +83,63 @@ def distinct_values(found: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return arrays.unionByName(others)
 
 
-def infer(docs: DataFrame, most_values: int = 10) -> InferredSchema:
-    """Infer all fields of a document relation.
-
-    Values are kept for fields of at most ``most_values`` distinct ones.
-    """
-    # parsed once; several aggregates read it
-    parsed = docs.select("path", "leaves").persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def kept(*tables: DataFrame) -> Iterator[list[DataFrame]]:
+    """Tables that several jobs read, computed once."""
+    held = [x.persist(StorageLevel.MEMORY_AND_DISK) for x in tables]
     try:
-        return _infer(parsed, leaves(parsed), most_values)
+        yield held
     finally:
-        parsed.unpersist()
+        for x in held:
+            x.unpersist()
+
 
+def inferred_globs(docs: DataFrame) -> dict[str, tuple[list[str], list[str]]]:
+    """Per field its (allowed, required) globs; only these are collected."""
+    with kept(directory_counts(docs)) as (counts,):
+        return {r.field: (r.allowed, r.required) for r in field_globs(counts).collect()}
 
-def _infer(docs: DataFrame, found: DataFrame, most_values: int) -> InferredSchema:
-    rows = field_types(found).collect()
-    kinds = {r.field: widen_all(r.observed) or "String" for r in rows}
-    dropped = sorted(name for name, kind in kinds.items() if "Array(Object)" in kind or "Object" in kind)
+
+def inferred_values(found: DataFrame, kinds: dict[str, str], most_values: int = 10, every: Iterable[str] = ()) -> dict[str, tuple[int, int, list[Any]]]:
+    """Per field: distinct values, occurrences, and the values where there are few.
+
+    Fields of ``every`` have all their values collected, however many: a list of
+    categories that a caller asks for holds all of them.
+    """
     if not kinds:
-        return InferredSchema([], [])
-    per_directory, per_field = directory_fields(docs, found)
-    tree = build_tree({r.dir: r.files for r in per_directory.collect()}, {(r.dir, r.field): r.files for r in per_field.collect()})
-    globs = infer_globs(tree)
-    counted = distinct_values(found, kinds)
-    sums = {r.field: r for r in counted.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("occurrences")).collect()}
-    few = [name for name, r in sums.items() if r.n <= most_values]
-    values: dict[str, list[Any]] = {}
-    for r in counted.where(F.col("field").isin(few)).select("field", "value").collect() if few else []:
-        values.setdefault(r.field, []).append(json.loads(r.value))
+        return {}
+    with kept(distinct_values(found, kinds)) as (counted,):
+        sums = {r.field: (r.n, r.occurrences) for r in counted.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("occurrences").alias("occurrences")).collect()}
+        few = [name for name, (n, _) in sums.items() if n <= most_values or name in set(every)]
+        values: dict[str, list[Any]] = {}
+        for r in counted.where(F.col("field").isin(few)).select("field", "value").collect() if few else []:
+            values.setdefault(r.field, []).append(json.loads(r.value))
+    order = lambda x: (str(type(x)), x if isinstance(x, int | float | str) else str(x))
+    return {name: (*counts, sorted(values.get(name, []), key=order)) for name, counts in sums.items()}
+
+
+def inferred_kinds(rows: Iterable[Any]) -> dict[str, str]:
+    """Final types from rows of ``field_types``."""
+    return {r.field: widen_all(r.observed) or "String" for r in rows}
+
+
+def infer(docs: DataFrame, most_values: int = 10, every: Iterable[str] = ()) -> InferredSchema:
+    """Infer all fields of a document relation.
+
+    Values are kept for fields of at most ``most_values`` distinct ones, and for
+    those of ``every``.
+    """
+    with kept(docs.select("path", "leaves")) as (parsed,):
+        found = leaves(parsed)
+        rows = sorted(field_types(found).collect(), key=lambda r: r.field)
+        kinds = inferred_kinds(rows)
+        dropped = sorted(name for name, kind in kinds.items() if "Object" in kind)
+        values, globs = inferred_values(found, kinds, most_values, every), inferred_globs(parsed)
     fields = []
-    for r in sorted(rows, key=lambda r: r.field):
-        if r.field in dropped:
-            continue
-        s, kind = sums.get(r.field), kinds[r.field]
-        allowed, required = globs[r.field]
-        fields.append(InferredField(r.field, kind, r.files, allowed, required, r.nullable, s.n if s else 0, s.occurrences if s else 0, sorted(values.get(r.field, []), key=lambda x: (str(type(x)), x if isinstance(x, int | float | str) else str(x))), list(r.observed), preprocess_for(r.observed, kind)))
+    for r in rows:
+        if r.field not in dropped:
+            n, occurrences, own = values.get(r.field, (0, 0, []))
+            fields.append(InferredField(r.field, kinds[r.field], r.files, *globs[r.field], r.nullable, n, occurrences, own, list(r.observed), preprocess_for(r.observed, kinds[r.field])))
     return InferredSchema(fields, dropped)
 
 

@@ -1,92 +1,66 @@
-"""Where fields are allowed and required, as globs over a directory tree.
-
-The tree's input is one row per directory and field (how many of its files have
-the field), so its size follows the directories and fields, not the files.
+"""Where fields are allowed and required, as globs over the directories.
+
+Directories are counted, not walked. A field may stand anywhere below a directory
+if it occurs in every group of files below it (the files that lie directly in one
+directory), and must if each of those files has it; both follow from how many
+groups below a directory say so, an aggregate over each group's ancestors. Globs
+are then the topmost such directories, and groups that have the field elsewhere.
+Tables grow with directories and fields; only globs reach the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass
-class Node:
-    """A directory, or (``files``) the files that lie directly in it."""
-
-    path: tuple[str, ...]
-    files: bool = False
-    always: set[str] = field(default_factory=set)
-    ever: set[str] = field(default_factory=set)
-    children: list[Node] = field(default_factory=list)
-
-
-def directory_fields(docs: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dir, files) and (dir, field, files): counts of documents."""
-    place = F.regexp_replace("path", r"/?[^/]*$", "").alias("dir")
-    return docs.groupBy(place).agg(F.countDistinct("path").alias("files")), leaves.groupBy(place, "field").agg(F.countDistinct("path").alias("files"))
-
-
-def build_tree(files: dict[str, int], having: dict[tuple[str, str], int]) -> Node:
-    root = Node(())
-    known: dict[tuple[str, ...], Node] = {(): root}
-
-    def place(path: tuple[str, ...]) -> Node:
-        if path not in known:
-            known[path] = Node(path)
-            place(path[:-1]).children.append(known[path])
-        return known[path]
-
-    own: dict[str, Node] = {}
-    for name in sorted(files):
-        path = tuple(name.split("/")) if name else ()
-        own[name] = Node(path, files=True)
-        place(path).children.append(own[name])
-    for (name, leaf), count in having.items():
-        own[name].ever.add(leaf)
-        if count == files[name]:
-            own[name].always.add(leaf)
-
-    def merge(node: Node) -> None:
-        for child in node.children:
-            merge(child)
-        if node.children:
-            node.always = set.intersection(*(x.always for x in node.children))
-            node.ever = set.intersection(*(x.ever for x in node.children))
-
-    merge(root)
-    return root
-
-
-def infer_globs(root: Node) -> dict[str, tuple[list[str], list[str]]]:
-    """Per field its (allowed, required) globs, each sorted."""
-    allowed: dict[str, dict[tuple[str, ...], bool]] = {}
-    required: dict[str, dict[tuple[str, ...], bool]] = {}
-
-    def seed(node: Node) -> None:
-        for name in node.ever if not node.children else ():
-            allowed.setdefault(name, {})[node.path] = False
-        for child in node.children:
-            seed(child)
-
-    def gather(entries: dict[str, dict[tuple[str, ...], bool]], name: str, path: tuple[str, ...]) -> None:
-        kept = {p: deep for p, deep in entries.get(name, {}).items() if p[: len(path)] != path}
-        entries[name] = kept | {path: True}
-
-    def climb(node: Node) -> None:
-        for child in node.children:
-            climb(child)
-        if node.children:
-            for name in node.ever | node.always:
-                gather(allowed, name, node.path)
-            for name in node.always:
-                gather(required, name, node.path)
-
-    def spelled(entries: dict[tuple[str, ...], bool]) -> list[str]:
-        return sorted("/".join((*path, "**" if deep else "*")) for path, deep in entries.items())
-
-    seed(root)
-    climb(root)
-    return {name: (spelled(entries), spelled(required.get(name, {}))) for name, entries in sorted(allowed.items())}
+def parent(path: str | Column) -> Column:
+    """The directory of a path, "" at the top."""
+    return F.regexp_replace(path, r"/?[^/]*$", "")
+
+
+def directory_counts(docs: DataFrame) -> DataFrame:
+    """(dir, field, files): documents with a field, and of all of them beside a null field; one pass."""
+    names = F.transform(F.filter("leaves", lambda x: x["first"] & (x["type"] != "Object")), lambda x: x["field"])
+    own = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(names, F.array().cast("array<string>")))
+    return docs.select(parent("path").alias("dir"), F.explode(own).alias("field")).groupBy("dir", "field").agg(F.count(F.lit(1)).alias("files"))
+
+
+def directory_fields(docs: DataFrame) -> DataFrame:
+    """(dir, field, having, files): in how many of a directory's documents a field is."""
+    counts = directory_counts(docs)
+    files = counts.where("field is null").select("dir", "files")
+    return counts.where("field is not null").withColumnRenamed("files", "having").join(files, "dir").select("dir", "field", "having", "files")
+
+
+def _above(directory: str) -> Column:
+    """A directory and all above it, to the top."""
+    parts = F.filter(F.split(directory, "/"), lambda x: x != "")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def _glob(directory: str, stars: str) -> Column:
+    return F.when(F.col(directory) == "", F.lit(stars)).otherwise(F.concat(directory, F.lit(f"/{stars}")))
+
+
+def field_globs(counts: DataFrame) -> DataFrame:
+    """(field, allowed, required): sorted globs, from ``directory_counts``.
+
+    These should be kept, as they are read several times.
+    """
+    files, having = counts.where("field is null").select("dir", "files"), counts.where("field is not null")
+    groups = having.withColumnRenamed("files", "having").join(files, "dir").select("dir", "field", (F.col("having") == F.col("files")).alias("always"))
+    totals = files.select(F.explode(_above("dir")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("groups"))
+    held = groups.select("field", "always", F.explode(_above("dir")).alias("at")).groupBy("at", "field").agg(F.count(F.lit(1)).alias("ever"), F.count_if("always").alias("always"))
+    whole = held.join(totals, "at").where("ever = groups").select("at", "field", (F.col("always") == F.col("groups")).alias("always"))
+
+    def topmost(rows: DataFrame) -> DataFrame:
+        above = rows.select(F.col("at").alias("up"), "field")
+        up = F.when(F.col("at") != "", parent("at"))
+        return rows.withColumn("up", up).join(above, ["up", "field"], "left_anti").select("field", _glob("at", "**").alias("glob"))
+
+    elsewhere = groups.join(whole.select(F.col("at").alias("dir"), "field"), ["dir", "field"], "left_anti").select("field", _glob("dir", "*").alias("glob"))
+    allowed = topmost(whole).unionByName(elsewhere).select("field", "glob", F.lit(False).alias("due"))
+    required = topmost(whole.where("always")).select("field", "glob", F.lit(True).alias("due"))
+    every = allowed.unionByName(required).groupBy("field")
+    return every.agg(*[F.sort_array(F.collect_list(F.when(F.col("due") == due, F.col("glob")))).alias(name) for name, due in (("allowed", False), ("required", True))])

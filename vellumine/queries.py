@@ -20,7 +20,7 @@ from vellumine.operators.index import classified, embed_chunks, metadata_structs
 from vellumine.operators.search import best_per_file, bm25_scores, fused, semantic_scores, top
 from vellumine.plans import validation
 from vellumine.plans.config import Config, Constraints, EmbeddingModel, Field
-from vellumine.plans.inference import categories, distinct_values, field_types, infer, value_ranges
+from vellumine.plans.inference import InferredField, categories, distinct_values, field_types, inferred_globs, inferred_kinds, inferred_values, kept, value_ranges
 from vellumine.plans.paths import directory_fields
 from vellumine.sources.frontmatter import documents, leaves
 from vellumine.types import json_text, widen_all
@@ -32,12 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame:
     """``documents`` and ``labels`` as a vault, parsed into the document relation."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
     front = F.to_json(F.struct("lang", "source", "n_chars", "quality", "toxic"))
-    return documents(rows.select(path.alias("path"), F.concat(front, F.lit("\n"), "text").alias("raw")))
+    return documents(rows.select(path.alias("path"), F.concat(front, F.lit("\n"), "text").alias("raw")), body=body)
 
 
 def _corpus_sql() -> str:
@@ -67,14 +67,12 @@ def field_types_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_presence_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    files, having = directory_fields(docs, leaves(docs))
-    return having.withColumnRenamed("files", "having").join(files, "dir").select("dir", "field", "having", "files")
+    return directory_fields(corpus(spark, sf_dir))
 
 
 def path_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(x.name, json_text(x.allowed), json_text(x.required)) for x in infer(corpus(spark, sf_dir)).fields]
-    return spark.createDataFrame(rows, "field string, allowed string, required string")
+    found = inferred_globs(corpus(spark, sf_dir))
+    return spark.createDataFrame([(name, json_text(allowed), json_text(required)) for name, (allowed, required) in found.items()], "field string, allowed string, required string")
 
 
 _KINDS = {"lang": "String", "source": "String", "n_chars": "Integer", "quality": "Integer", "toxic": "Integer"}
@@ -85,8 +83,10 @@ def field_distinct_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def categorical_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = [(x.name, categories(x)) for x in infer(corpus(spark, sf_dir)).fields]
-    return spark.createDataFrame([(name, json_text(v)) for name, v in found if v], "field string, categories string")
+    with kept(corpus(spark, sf_dir).select("path", "leaves")) as (docs,):
+        values = inferred_values(leaves(docs), kinds := inferred_kinds(field_types(leaves(docs)).collect()))
+    fields = [InferredField(name, kind, 0, n_distinct=values[name][0], occurrences=values[name][1], values=values[name][2]) for name, kind in kinds.items()]
+    return spark.createDataFrame([(x.name, json_text(v)) for x in fields if (v := categories(x))], "field string, categories string")
 
 
 def range_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def denormalise_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their file's typed metadata, counted back to files by language."""
-    docs = corpus(spark, sf_dir)
+    docs = corpus(spark, sf_dir, body=True)
     files = docs.select("path", "content", "body_line_offset", F.lit(None).cast("string").alias("file_id"), F.md5("content").alias("hash"))
     rows = embed_chunks(files, EmbeddingModel("mock", "mock-8"), 1024).join(metadata_structs(docs, {"lang": "String", "n_chars": "Integer"}), "filepath")
     return rows.groupBy(F.col("data.lang").alias("lang")).agg(F.countDistinct("filepath").alias("files"), F.max("data.n_chars").alias("longest"), F.min(F.size("embedding")).cast("long").alias("dimension"))

@@ -24,8 +24,6 @@ from vellumine.sources.frontmatter import documents, leaves
 from vellumine.sources.listing import list_files, read_files
 
 INDEX_FOLDER = ".vault"
-#: Values that a field may have to be declared categorical by force.
-MOST_VALUES = 10_000
 #: Exit codes of the command line.
 DONE, FOUND_VIOLATIONS, FAILED = 0, 1, 2
 
@@ -143,7 +141,8 @@ class Vault:
         out, config, ranges = Outcome(), self.config(), {}
         with out.step("infer"):
             docs = self.scan(config.scan)
-            found = infer(docs, MOST_VALUES if constraints == "categories" else config.max_categories)
+            every = [x.name for x in config.fields] if everything else reinfer or []
+            found = infer(docs, config.max_categories, every if constraints == "categories" else ())
             if constraints == "range":
                 ranges = {r.field: (r.min, r.max) for r in value_ranges(leaves(docs)).collect()}
         targets = None if everything else reinfer
