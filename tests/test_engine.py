@@ -149,7 +149,30 @@ def test_chunks():
     assert [c.index for c in found] == list(range(len(found))) and all(c.start_line <= c.end_line for c in found)
     assert all(a.start_line <= b.start_line for a, b in zip(found, found[1:], strict=False)) and all(len(c.plain_text) <= 200 for c in found)
     assert chunks("") == [] and chunks(" \n ") == []
-    assert plain_text("# A *b* <i>c</i> [d](e) `f` [[g|h]]") == "A b  c  d   h"
+    assert chunks("```\n# no heading\n" + "x\n" * 60 + "```\n# One\n" + "word " * 20, 160)[1].plain_text.startswith("One word")
+
+
+@pytest.mark.parametrize(
+    ("markdown", "seen"),
+    [
+        ("# A *b* <i>c</i> [d](e) `f` [[g|h]]", "A  b   c   d   h"),
+        ("Title\n=====\n\n> quoted *words*\n> and more\n\n- one\n- two\n  still two\n\n1. three", "Title quoted  words and more one two still two three"),
+        ("```rust\n# let x = **1**;\n```\nafter", "# let x = **1**; after"),
+        ("- item\n\n  ~~~\n  a\n   b\n  ~~~\n\ntail", "item a  b tail"),
+        ("a\n\n    indented *code*\n\nb", "a indented *code* b"),
+        ("[x](<u v> \"ti)tle\") and ![alt](p(1).png) end", "x  and  alt  end"),
+        ("[x][ref] [ref] [none]\n\n[ref]: http://a 'T'", "x   ref  [none]"),
+        ("2 * 3 * 4, snake_case_name, **bold*", "2 * 3 * 4, snake_case_name,  * bold"),
+        ("***both*** and **a *b* c**", "both  and  a  b  c"),
+        ("\\*no\\* &amp; &lt; <https://a.b/c> x<br/>y", "*no* & <  https://a.b/c  x y"),
+        ("<div>\nhidden\n</div>\n\nshown <!-- not --> this", "shown   this"),
+        ("---\n***\nafter [[note]] ![[pic|a]]", "after note a"),
+        ("`` a ` b `` c ` d", "c ` d"),
+        ("", ""),
+    ],
+)
+def test_visible_text(markdown, seen):
+    assert plain_text(markdown).split() == seen.split()
 
 
 def test_text_functions(spark):
@@ -184,7 +207,8 @@ def test_vector_lists(spark, tmp_path, monkeypatch):
     centres = rng.normal(size=(20, 16))
     rows = spark.createDataFrame([(f"{i:05d}", [float(x) for x in centres[i % 20] + 0.3 * rng.normal(size=16)]) for i in range(2000)], "chunk_id string, embedding array<float>")
     path = f"file://{tmp_path}/lists"
-    centroids = ann.write_lists(rows, path, 2000, 40)
+    centroids = ann.fit_centroids(rows, 40, 2000)
+    ann.write_lists(rows, path, centroids, 2000)
     assert spark.read.parquet(path).count() == 2000
     hits = wanted = 0
     for i in range(0, 2000, 50):
@@ -194,7 +218,14 @@ def test_vector_lists(spark, tmp_path, monkeypatch):
         wanted += 10
     assert hits / wanted >= 0.9
     plan = ann.probed(spark, path, centroids, query, 2)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+    assert "PartitionFilters: [isnotnull(shard" in plan or "PartitionFilters: [shard" in plan
+    assert "In(list" in plan
+    monkeypatch.setattr(ann, "FILE_BYTES", 4 * 16 * 300)
+    ann.write_lists(rows, f"{path}-sharded", centroids, 2000)
+    sharded = spark.read.parquet(f"{path}-sharded")
+    assert sharded.count() == 2000 and 5 <= sharded.select("shard").distinct().count() <= 8
+    both = [sorted(r.chunk_id for r in ann.probed(spark, x, centroids, query, 3).collect()) for x in (path, f"{path}-sharded")]
+    assert both[0] == both[1]
     monkeypatch.setattr(index, "LEAST_VECTORS", 3)
     own = Index(spark, f"file://{tmp_path}/index")
     own.build(rows_of(spark, 12), cfg.Config())
@@ -207,6 +238,91 @@ def rows_of(spark, count):
     return documents(spark.createDataFrame([(f"{i}.md", f"text number {i}") for i in range(count)], "path string, raw string"))
 
 
+def index_files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def texts_of(spark, files):
+    return documents(spark.createDataFrame(sorted(files.items()), "path string, raw string"))
+
+
+def found_by(index, words):
+    from vellumine.operators.search import search
+
+    return [(r.filename, round(r.score, 9)) for r in search(index, words, "fulltext", limit=50)[0].collect()]
+
+
+def test_a_build_rewrites_nothing_that_stays(spark, tmp_path):
+    config, index = cfg.Config(fields=[cfg.Field("n", "Integer")]), Index(spark, f"file://{tmp_path}/a")
+    files = {f"{i}.md": json.dumps({"n": i}) + f"\nnote {i} about the sea and word{i % 3}" for i in range(9)}
+    index.build(texts_of(spark, files), config)
+    before = index_files(tmp_path / "a")
+    files |= {"new.md": '{"n": 1}\nthe new sea', "2.md": '{"n": 2}\nedited', "3.md": files["3.md"].replace("3}", "33}")}
+    del files["4.md"]
+    done = index.build(texts_of(spark, files), config)
+    assert (done.new, done.edited, done.removed, done.unchanged, done.chunks_embedded, done.chunks_total) == (1, 1, 1, 7, 2, 9)
+    after = index_files(tmp_path / "a")
+    assert {k: after.get(k) for k in before} == before
+    assert {r.filepath: r.data.n for r in index.rows().collect()}["3.md"] == 33
+
+    def equals_a_new_one():
+        other = Index(spark, f"file://{tmp_path}/b")
+        other.build(texts_of(spark, files), config, force=True)
+        key = lambda x: sorted((r.filepath, r.chunk_id, r.chunk_text, r.data.n) for r in x.rows().collect())
+        assert key(index) == key(other) and index.stats() == other.stats()
+        assert index.metadata()["mean_length"] == other.metadata()["mean_length"]
+        assert all(found_by(index, x) == found_by(other, x) for x in ("sea", "edited word1", "new note about"))
+
+    equals_a_new_one()
+    first = files["2.md"]
+    for text in ('{"n": 2}\nanother sea', first):  # there and back again
+        files["2.md"] = text
+        index.build(texts_of(spark, files), config)
+    equals_a_new_one()
+
+
+def test_segments_are_compacted(spark, tmp_path, monkeypatch):
+    from vellumine.operators import index as module
+
+    for name, value in (("MOST_SEGMENTS", 2), ("LEAST_VECTORS", 3), ("BUCKET_CHUNKS", 2)):
+        monkeypatch.setattr(module, name, value)
+    index, files = Index(spark, f"file://{tmp_path}/a"), {}
+    for i in range(4):
+        files[f"{i}.md"] = f"text number {i} of the sea"
+        index.build(texts_of(spark, files), cfg.Config())
+    meta = index.metadata()
+    assert len(meta["segments"]) <= 2 and meta["chunks"] == 4 and index.rows().count() == 4
+    assert [x for x, _ in found_by(index, "number 3")][0] == "3.md" and index.postings().where("term = 'sea'").count() == 4
+    named = {x["name"] for x in meta["segments"]}
+    assert named <= {p.name for p in (tmp_path / "a").iterdir()} and len(list((tmp_path / "a" / "log").glob("*.json"))) == 2
+
+
+@pytest.mark.parametrize("step", ["files", "chunks", "postings", "log"])
+def test_a_build_that_dies_changes_nothing(spark, tmp_path, monkeypatch, step):
+    from vellumine.operators import index as module
+
+    index = Index(spark, f"file://{tmp_path}/a")
+    index.build(texts_of(spark, {"a.md": "first sea"}), cfg.Config())
+
+    def die(*_, **__):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        if step == "postings":
+            patch.setattr(module, "posting_rows", die)
+        elif step == "log":
+            patch.setattr(index.files, "create", die)
+        else:
+            write = index._write
+            patch.setattr(index, "_write", lambda df, segment, name: die() if name == step else write(df, segment, name))
+        with pytest.raises(RuntimeError, match="killed"):
+            index.build(texts_of(spark, {"a.md": "second lake", "b.md": "third sea"}), cfg.Config())
+    assert found_by(index, "sea lake")[0][0] == "a.md" and index.rows().count() == 1
+    index.build(texts_of(spark, {"a.md": "second lake", "b.md": "third sea"}), cfg.Config())
+    assert sorted(x for x, _ in found_by(index, "sea lake")) == ["a.md", "b.md"]
+    assert len(index.files.names()) == 1 + len({x["name"] for v in index._versions() for x in json.loads(index.files.read(f"log/{v:010d}.json"))["segments"]})
+
+
 def test_update_and_reinfer(vault, tmp_path):
     vault.init()
     write(tmp_path, "notes/more.md", "---\ntitle: T\nstatus: odd\nrating: 7\ndraft: true\npublished: 2024-01-01\ntags: [a]\nextra: 1.5\n---\nx")

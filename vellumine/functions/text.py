@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -47,6 +50,32 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
+#: Dimensions up to which products are unrolled into generated code.
+UNROLLED = 512
+
+
+def cosine_with(vector: str, query: list[float], norm: str | None = None) -> Column:
+    """Cosine similarity of a column with one given vector, whose norm is taken once.
+
+    In double precision; 0 if either has no length, null if lengths differ.
+    """
+    length = math.sqrt(math.fsum(x * x for x in query))
+    if not 0 < len(query) <= UNROLLED:
+        return cosine_similarity(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
+    part = [f"CAST(get({vector}, {i}) AS DOUBLE)" for i in range(len(query))]
+    dot = F.expr(" + ".join(f"{x} * CAST({float(q)!r} AS DOUBLE)" for x, q in zip(part, query, strict=True)))
+    own = F.col(norm) if norm else F.sqrt(F.expr(" + ".join(f"{x} * {x}" for x in part)))
+    return F.when(F.size(vector) == len(query), F.when((own == 0) | F.lit(length == 0), F.lit(0.0)).otherwise(dot / (own * F.lit(length))))
+
+
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+_TERM = re.compile(r"[^\W_]+")
+
+
+def text_terms(text: str) -> list[str]:
+    """The same outside the JVM: what postings hold, and what a query asks for."""
+    return _TERM.findall(text.lower())

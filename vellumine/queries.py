@@ -16,8 +16,8 @@ from vellumine.functions.globs import path_in
 from vellumine.functions.text import content_hash, wikilinks_stripped
 from vellumine.functions.where import Names, compile_where
 from vellumine.operators.chunking import Chunk, chunks, plain_text
-from vellumine.operators.index import classified, embed_chunks, metadata_structs, postings
-from vellumine.operators.search import best_per_file, bm25_scores, fused, semantic_scores, top
+from vellumine.operators.index import classified, embed_chunks
+from vellumine.operators.search import best_by_words, best_per_file, fused, semantic_scores, top
 from vellumine.plans import validation
 from vellumine.plans.config import Config, Constraints, EmbeddingModel, Field
 from vellumine.plans.inference import InferredField, categories, distinct_values, field_types, inferred_globs, inferred_kinds, inferred_values, kept, value_ranges
@@ -249,9 +249,8 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def denormalise_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their file's typed metadata, counted back to files by language."""
-    docs = corpus(spark, sf_dir, body=True)
-    files = docs.select("path", "content", "body_line_offset", F.lit(None).cast("string").alias("file_id"), F.md5("content").alias("hash"))
-    rows = embed_chunks(files, EmbeddingModel("mock", "mock-8"), 1024).join(metadata_structs(docs, {"lang": "String", "n_chars": "Integer"}), "filepath")
+    files = corpus(spark, sf_dir, body=True).withColumn("file_id", F.lit(None).cast("string"))
+    rows = embed_chunks(files, EmbeddingModel("mock", "mock-8"), 1024, {"lang": "String", "n_chars": "Integer"})
     return rows.groupBy(F.col("data.lang").alias("lang")).agg(F.countDistinct("filepath").alias("files"), F.max("data.n_chars").alias("longest"), F.min(F.size("embedding")).cast("long").alias("dimension"))
 
 
@@ -281,21 +280,19 @@ def best_chunk_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BM25_WORDS = "the of license"
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bm25(spark: SparkSession, sf_dir: str, count: int) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    post = postings(rows)
-    sums = rows.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.filter(F.split(F.lower("chunk_text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))).alias("length")).first()
-    return bm25_scores(post, _BM25_WORDS, sums.n, sums.length)
+    return best_by_words(rows, _BM25_WORDS, count)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(_bm25(spark, sf_dir), 20).select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score"))
+    return _bm25(spark, sf_dir, 20).select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score"))
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, query = _vectors(spark, sf_dir)
     vectors = top(semantic_scores(e.withColumn("chunk_id", F.lpad(F.col("vec_id").cast("string"), 12, "0")), query), 30)
-    both = fused([vectors.select("chunk_id", "score"), top(_bm25(spark, sf_dir), 30)])
+    both = fused([vectors.select("chunk_id", "score"), _bm25(spark, sf_dir, 30)])
     return top(both, 20).select(F.col("chunk_id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -32,18 +34,19 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Write beside the file, then put it in place."""
-        part, fs = self._path(f".{name}.part")
-        path, _ = self._path(name)
+    def create(self, name: str, text: str) -> bool:
+        """Write a file that isn't there yet, in one rename; False if it is."""
+        path, fs = self._path(name)
+        part, _ = self._path(f"{name}.{uuid.uuid4().hex}.part")
         stream = fs.create(part, True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
-        fs.delete(path, False)
-        if not fs.rename(part, path):
-            raise OSError(f"can't replace {self.root}/{name}")
+        done = not fs.exists(path) and fs.rename(part, path)
+        if not done:
+            fs.delete(part, False)
+        return done
 
     def remove(self, name: str = "") -> bool:
         path, fs = self._path(name)

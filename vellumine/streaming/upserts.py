@@ -1,9 +1,10 @@
 """Keeping an index up to date from a stream of raw documents.
 
-An extension: each micro-batch of (path, raw) rows is parsed and merged into
-the documents seen so far, and the index is brought up to date by its ordinary
-incremental build. Batches are numbered, so one that is replayed changes
-nothing twice.
+An extension: a micro-batch of (path, raw, ts) rows is parsed and appended to the
+index, which classifies the batch's paths only, so neither documents nor chunks of
+other files are read or written. When a path was last seen is kept in a table that
+each batch appends to; older rows that come late are left out. Batches are
+numbered, and one that is replayed finds its own work done.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vellumine.operators.index import Index
 from vellumine.plans.config import Config
+from vellumine.plans.inference import kept
 from vellumine.sources.files import Files
 from vellumine.sources.frontmatter import documents
 
@@ -25,21 +27,18 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def upsert(batch: DataFrame, number: int, store: str, index: Index, config: Config) -> None:
-    """Merge (path, raw, ts) into the table of raw documents; a null text deletes."""
+    """Bring the index up to date with (path, raw, ts); a null text deletes."""
     spark = batch.sparkSession
     files = Files(spark, store)
-    done = int(files.read("last")) if files.exists("last") else -1
-    if number <= done:
-        return
-    merged = batch.select("path", "raw", "ts")
-    if done >= 0:
-        merged = merged.unionByName(spark.read.parquet(f"{store}/raw-{done}"))
-    latest(merged).where("raw is not null").write.mode("overwrite").parquet(f"{store}/raw-{number}")
-    raw = spark.read.parquet(f"{store}/raw-{number}")
-    index.build(documents(raw.select("path", "raw")), config)
-    files.replace("last", str(number))
-    if done >= 0:
-        files.remove(f"raw-{done}")
+    seen = [f"{store}/seen/{x}" for x in files.names("seen") if x.isdigit() and int(x) != number and files.exists(f"seen/{x}/_SUCCESS")]
+    rows = batch.select("path", "raw", "ts")
+    if seen:
+        before = spark.read.schema("path string, ts long").parquet(*seen).groupBy("path").agg(F.max("ts").alias("last"))
+        rows = rows.join(before, "path", "left").where(F.col("last").isNull() | (F.col("ts") > F.col("last"))).drop("last")
+    with kept(latest(rows)) as (fresh,):
+        docs = documents(fresh.where("raw is not null").select("path", "raw"))
+        index.build(docs, config, removed=fresh.where("raw is null").select("path"))
+        fresh.select("path", F.col("ts").cast("long").alias("ts")).write.mode("overwrite").parquet(f"{store}/seen/{number}")
 
 
 def keep_up(stream: DataFrame, store: str, index: Index, config: Config, checkpoint: str, **trigger) -> StreamingQuery:
