@@ -46,7 +46,15 @@ def test_many_copies(spark):
     assert hot.count() == 400 and hot.select("group_size", "keep_id").distinct().collect() == [(400, 599)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10**5, 20])
+def test_components(spark, monkeypatch, hot):
+    from vellumine.llm import common
+    from vellumine.llm import components as module
+
+    monkeypatch.setattr(module, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    if hot == 20:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 360)] + [(500, x) for x in range(501, 560)] + [(7, 7)]
     want = components({x for pair in links for x in pair}, links)
@@ -63,6 +71,25 @@ def test_forest(pairs):
     assert {int(x): int(y) for x, y in zip(at, to, strict=True)} == {k: v for k, v in want.items() if k != v}
 
 
+def test_scratch_is_deleted(spark):
+    import glob
+
+    from vellumine.llm.common import shared_dir, temporary
+
+    rows = spark.createDataFrame([(1,)], "a int")
+    kept = Scratch(spark, "test")
+    kept.write(rows, "x")
+    with temporary():
+        own = Scratch(spark, "test")
+        own.write(rows, "y")
+        own.write(rows, "z")
+        own.keep("z")
+        assert own.labels == {"z"} and own.read("z", rows.schema).count() == 1
+    folder = shared_dir(spark).removeprefix("file:")
+    left = glob.glob(f"{folder.replace('//', '/', 1)}/vellumine/*/*")
+    assert any(kept.root.endswith(x.split("/")[-2]) for x in left) and not any(own.root.endswith(x.split("/")[-2]) for x in left)
+
+
 def test_cells_cover_every_pair_once(spark):
     entries = spark.createDataFrame([(i % 3, i) for i in range(60)], "k int, m long")
     rows = blocks.cells(entries, ["k"], "m", 6, Scratch(spark, "test"), "large").collect()

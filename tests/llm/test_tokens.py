@@ -135,6 +135,92 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(lattice.words([b"x" * 3000, b"\xff"])).all()
 
 
+def segmentations(text, weight):
+    """Every way to cut a text into pieces, each with its log probability."""
+    if not text:
+        return [((), 0.0)]
+    out = []
+    for k in range(1, len(text) + 1):
+        head = text[:k]
+        if head in weight and not (head.startswith("<") and head.endswith(">") and k > 2):
+            own = (head,)
+        elif k == 1:
+            own = tuple(f"<0x{b:02X}>" for b in head.encode())
+        else:
+            continue
+        out += [((*own, *rest), sum(weight[x] for x in own) + log) for rest, log in segmentations(text[k:], weight)]
+    return out
+
+
+def counted(words, weight):
+    """Expected pieces of so many of each word, by enumeration."""
+    total = Counter()
+    for word, times in words.items():
+        ways = segmentations("▁" + word, weight)
+        whole = np.logaddexp.reduce([x for _, x in ways])
+        for pieces, log in ways:
+            for x in pieces:
+                total[x] += times * math.exp(log - whole)
+    return total
+
+
+def test_expected_pieces_are_those_of_all_segmentations(monkeypatch):
+    names = lattice_lm.piece_names(PIECES)
+    logs = np.log(np.random.default_rng(1).random(len(names)) / 1000)
+    lattice, words = lattice_lm.Lattice(names, logs, -1.0), {"the": 3, "cats": 2, "日本": 1, "🙂a": 5, "hello": 1, "then": 4}
+    want = counted(words, dict(zip(names, logs, strict=True)))
+    for long in (256, 2):
+        monkeypatch.setattr(lattice_lm, "LONG", long)
+        found = lattice.expected([x.encode() for x in words], np.array(list(words.values())))
+        assert all(math.isclose(found[i], want.get(x, 0.0), rel_tol=1e-9, abs_tol=1e-12) for i, x in enumerate(names))
+
+
+def test_long_words_are_summed_as_short_ones(monkeypatch):
+    names = lattice_lm.piece_names(PIECES)
+    lattice = lattice_lm.Lattice(names, np.log(lattice_lm.prior_counts(PIECES) + 1e-9) - 7, -1.0)
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("theandofis日é🙂"), 250)).encode(), b"ab" * 120, b"x" * 200]
+    marginals, pieces = lattice.words(words), lattice.expected(words, np.array([1, 2, 3]))
+    for positions in (1 << 14, 17):
+        monkeypatch.setattr(lattice_lm, "LONG", 10)
+        monkeypatch.setattr(lattice_lm, "POSITIONS", positions)
+        assert np.allclose(lattice.words(words), marginals, rtol=1e-10) and np.allclose(lattice.expected(words, np.array([1, 2, 3])), pieces, rtol=1e-7, atol=1e-9)
+    assert np.isfinite(lattice.words([b"thequick" * 20_000])).all()
+
+
+def test_prior_follows_the_scores():
+    prior, names = lattice_lm.prior_counts(PIECES), lattice_lm.piece_names(PIECES)
+    by = dict(zip(names, prior, strict=True))
+    assert math.isclose(prior.sum(), lattice_lm.PRIOR) and by["<unk>"] == by["</s>"] == 0
+    model = lattice_lm.library(PIECES)
+    ranks = [-model.get_score(model.piece_to_id(x)) for x in ("om", "▁Device")]
+    assert math.isclose(by["om"] / by["▁Device"], (ranks[1] + lattice_lm.RANK_OFFSET) / (ranks[0] + lattice_lm.RANK_OFFSET)) and by["<0x41>"] <= min(by["om"], by["▁Device"])
+
+
+def test_scores_are_those_of_a_plain_recomputation(spark):
+    rows = [(i, t) for i, t in enumerate(("the cat sat", "a cat and the dog", "The Cat", "", "dog dog é", "sat on a mat", "one cat", "so it is", "日本 cat"))]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    words = [t.translate(ASCII).split() for _, t in rows]
+    counts, texts = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws), held.count(False)
+    names, prior, model = lattice_lm.piece_names(PIECES), lattice_lm.prior_counts(PIECES), lattice_lm.library(PIECES)
+
+    def weights(found):
+        own = {x: found.get(x, 0.0) + p for x, p in zip(names, prior, strict=True)}
+        whole = sum(v for x, v in own.items() if x not in ("<unk>", "<s>", "</s>")) + texts + lattice_lm.END_PRIOR
+        return {x: math.log(v / whole) if v else -math.inf for x, v in own.items()}, math.log((texts + lattice_lm.END_PRIOR) / whole)
+
+    first = Counter()
+    for w, c in counts.items():
+        for piece in model.encode(w, out_type=str):
+            first[piece] += c
+    logs, end = weights(first)
+    for _ in range(lattice_lm.ROUNDS):
+        logs, end = weights(counted(counts, logs))
+    want = {i: (sum(np.logaddexp.reduce([x for _, x in segmentations("▁" + w, logs)]) for w in ws) + end) / math.log(10) for (i, _), ws in zip(rows, words, strict=True)}
+    found = {r.doc_id: r.score for r in lattice_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    assert any(held) and all(math.isclose(found[i], want[i], rel_tol=1e-9) for i in want)
+
+
 @pytest.mark.parametrize("frequent", [250_000, 3, 0])
 def test_lattice_scores(spark, monkeypatch, frequent):
     monkeypatch.setattr(lattice_lm, "FREQUENT", frequent)

@@ -7,9 +7,11 @@ costs a reread, never a wrong or missing row.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 #: Rows of one key that a task of a join may get; a hotter key is dealt out.
 HOT_ROWS = 100_000
-#: Rows that an Arrow batch of texts holds at most.
-TEXT_BATCH_ROWS = 1000
+#: Rows and bytes that an Arrow batch of texts holds at most (a longer text is one batch).
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 1 << 24
 
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -40,31 +42,66 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches that hold whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+    """Bound the memory of Arrow batches that hold whole texts.
+
+    Plans are lazy, so this is a setting of the session that stays; it is lowered,
+    never raised.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        given = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key)))
+        if given is None or not 0 < int(given[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
-    """Tables of one operator run, written as Parquet below the shared folder."""
+    """Tables of one operator run, written as Parquet below the shared folder.
+
+    ``keep`` deletes what a result no longer reads; what it reads lives until
+    ``temporary`` ends or its folder is deleted.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/vellumine/{name}-{uuid.uuid4().hex}"
+        self.labels: set[str] = set()
+        for opened in _OPENED:
+            opened.append(self)
 
     def write(self, df: DataFrame, label: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{label}"
         writer = df.write.mode("overwrite")
+        self.labels.add(label)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.read(label, df.schema)
 
     def read(self, label: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{label}")
 
-    def drop(self, label: str) -> None:
-        """Delete a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
+    def drop(self, label: str = "") -> None:
+        """Delete a table that no later plan reads, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}" if label else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.labels -= {label} if label else self.labels
+
+    def keep(self, *labels: str) -> None:
+        """Delete all tables but these."""
+        for label in sorted(self.labels - set(labels)):
+            self.drop(label)
+
+
+_OPENED: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Delete, at the end, all tables that operators wrote meanwhile and still have."""
+    opened: list[Scratch] = []
+    _OPENED.append(opened)
+    try:
+        yield
+    finally:
+        _OPENED.remove(opened)
+        for x in opened:
+            x.drop()
 
 
 def keyed_side(df: DataFrame) -> DataFrame:

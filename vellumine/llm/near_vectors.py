@@ -314,6 +314,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     placed = scratch.write(hot_join(groups, least, "component", "cid", scratch, "hot-components").join(linked, "cid", "left"), "placed")
     # what differs from a class of one row without links
     known = scratch.write(ids.join(keyed_side(placed), "cid", "left").where("w > 1 or component is not null").select("key", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id")), "known")
+    scratch.keep("rows", "known")
     out = hot_join(rows.select("rid", "id", "key"), known, "key", "rid", scratch, "hot-keys", "left")
     own = F.col("n_links").isNull()
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(own, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
