@@ -39,10 +39,17 @@ def test_exact_duplicates(spark):
     assert exact_dedup.drop_exact_duplicates(empty(spark)).count() == 0
 
 
-def test_many_copies(spark):
+@pytest.mark.parametrize(("partitions", "hashes", "broadcast"), [(7, 16, 10**6), (40, 16, 10**6), (7, 10**6, 0)])
+def test_many_copies(spark, monkeypatch, partitions, hashes, broadcast):
+    from vellumine.llm import common
+
+    monkeypatch.setattr(exact_dedup, "LIST_HASHES", hashes)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
     rows = [(i, "hot text" if i % 3 else f"text {i}") for i in range(600)]
-    found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    found = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions))
     hot = found.where("group_size > 1")
+    assert found.count() == 600 and found.where("kept").count() == 201
     assert hot.count() == 400 and hot.select("group_size", "keep_id").distinct().collect() == [(400, 599)]
 
 
@@ -124,10 +131,15 @@ def brute(rows, n, least):
     return [(len(sets[i]), rows[i][0] if not sets[i] else least_id.get(roots[i])) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("n", "least", "paired", "common"), [(4, Fraction(85, 100), 32, 16), (5, Fraction(4, 5), 2, 3), (4, Fraction(85, 100), 3, 10**9)])
-def test_jaccard_components(spark, monkeypatch, n, least, paired, common):
-    for name, value in (("PAIRED", paired), ("COMMON_FROM", common), ("DENSE_BLOCK", 1500), ("FINE", 1000), ("FOLLOWERS", 3), ("BLOCK", 4)):
+@pytest.mark.parametrize(("n", "least", "paired", "common", "hot"), [(4, Fraction(85, 100), 32, 16, 12), (5, Fraction(4, 5), 1, 3, 2), (4, Fraction(85, 100), 3, 10**9, 12)])
+def test_jaccard_components(spark, monkeypatch, n, least, paired, common, hot):
+    from vellumine.llm import common as shared
+
+    for name, value in (("PAIRED", paired), ("COMMON_FROM", common), ("HOT_LEVEL", hot), ("DENSE_BLOCK", 1500), ("FINE", 1000), ("FOLLOWERS", 3), ("BLOCK", 4)):
         monkeypatch.setattr(ngram_join, name, value)
+    if hot == 2:
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(shared, "HOT_ROWS", 5)
     rows = near_copies() + [(1000 + (i or 0) if i is not None else None, t) for i, t in ODD]
     found = ngram_join.jaccard_components(frame(spark, rows), n, least)
     want = sorted((str(i), *x) for (i, _), x in zip(rows, map(lambda p: (p[0], str(p[1])), brute(rows, n, least)), strict=True))

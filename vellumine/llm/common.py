@@ -117,16 +117,17 @@ def bounded_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def hot_join(rows: DataFrame, side: DataFrame, key: str, member: str, scratch: Scratch, label: str, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, side: DataFrame, key: str, member: str, scratch: Scratch, label: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``side``, a written table of one row a ``key``.
 
     A side too large for a broadcast is joined by key. Keys of more than
     ``HOT_ROWS`` rows are dealt out by ``member`` to as many parts as they need,
-    so that no task gets all rows of one.
+    so that no task gets all rows of one. ``counts`` (key, rows) saves counting.
     """
     if side.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(side), key, how)
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__parts")).where(F.col("__parts") > HOT_ROWS)
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")) if counts is None else counts
+    counted = counted.withColumnRenamed("rows", "__parts").where(F.col("__parts") > HOT_ROWS)
     hot = keyed_side(scratch.write(counted.select(key, F.ceil(F.col("__parts") / HOT_ROWS).cast("int").alias("__parts")), label))
     # a null key meets nothing, so its rows may go anywhere
     parts = F.when(F.col(key).isNull(), F.lit(1 << 16)).otherwise(F.coalesce("__parts", F.lit(1)))

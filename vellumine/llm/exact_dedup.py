@@ -3,6 +3,9 @@
 1. Each input partition hashes its normalised texts to 64 bits, sorts the
    distinct hashes and sends them to the owners of the hash ranges as
    Golomb-Rice coded gaps, with a bit for those it holds several times.
+   Where a partition's hashes would make too short a list for each owner, it
+   sends fewer lists for wider ranges to routers, which merge those of many
+   partitions and send longer lists on.
 2. An owner decodes the lists of its range and answers every list with a
    bitmap of the hashes that occur more than once anywhere.
 3. A list and its bitmap give the suspect hashes. Only suspects' texts are
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.common import Scratch, arrow_type, byte_texts, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
+from vellumine.llm.common import Scratch, arrow_type, byte_texts, hot_join, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
 
 #: Hashes that an owner receives on average at most.
 OWNER_HASHES = 1 << 17
 LEAST_OWNER_BITS = 8
+#: Hashes that a list holds on average at least, or else lists are merged on the way.
+LIST_HASHES = 16
 
 _HEAD = struct.Struct("<IBI")
 #: Working columns beside an input's own.
@@ -126,6 +131,29 @@ def _fingerprints(rows: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(step, schema)
 
 
+def _routed(wide: int, bits: int):
+    """Lists of ``2 ** wide`` ranges, of some partitions each, as one list for each owner in the range."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        router = table.column("owner")[0].as_py()
+        low, shift = np.uint64(router << (64 - wide)), 64 - wide
+        lists = [golomb_decode(x) for x in table.column("payload").to_pylist()]
+        values = np.concatenate([x for x, _ in lists])
+        distinct, back, counts = np.unique(values, return_inverse=True, return_counts=True)
+        repeated = counts > 1
+        repeated[back[np.concatenate([x for _, x in lists])]] = True
+        owners = ((distinct | low if shift < 64 else distinct) >> np.uint64(64 - bits)).astype(np.int64)
+        out = []
+        for part in np.split(np.arange(len(distinct)), np.flatnonzero(np.diff(owners)) + 1):
+            owner = int(owners[part[0]])
+            own = (distinct[part] | low if shift < 64 else distinct[part]) - np.uint64(owner << (64 - bits))
+            out.append((owner, golomb_encode(own, 64 - bits, repeated[part])))
+        rid = min(table.column("rid").to_pylist())
+        return pa.table({"rid": pa.array([rid] * len(out), pa.int64()), "owner": pa.array([x for x, _ in out], pa.int64()), "payload": pa.array([x for _, x in out], pa.binary())})
+
+    return merge
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """An owner's bitmaps: which hashes of each list occur more than once."""
     lists = [golomb_decode(x) for x in table.column("payload").to_pylist()]
@@ -154,23 +182,32 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(fps)), pa.array(texts, pa.binary())], ["fp", "norm"])
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (rid, id, fp, sha) and the confirmed groups (fp, sha, n, top)."""
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Scratch]:
+    """All rows (rid, id, fp, sha), the confirmed groups (fp, sha, n, top), and where both are written."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "exact")
     rows = text_input(docs, id_col, text_col)
-    owners = max(1, rows.count() // OWNER_HASHES)
+    count, parts = rows.count(), max(1, rows.rdd.getNumPartitions())
+    owners = max(1, count // OWNER_HASHES)
     bits = min(24, max(LEAST_OWNER_BITS, owners.bit_length()))
-    table = scratch.write(_fingerprints(rows, bits), "fingerprints", "kind")
+    wide = min(bits, max(0, (count // (parts * LIST_HASHES)).bit_length() - 1))
+    table = scratch.write(_fingerprints(rows, wide), "fingerprints", "kind")
     seen, sent = table.where("kind = 0").select("rid", "id", "fp", "sha"), table.where("kind = 1").select("rid", "owner", "payload")
+    if wide < bits:
+        # a router takes lists of so many partitions that what it sends on is long enough
+        routers = -(-parts // (1 << (bits - wide)))
+        routed = sent.withColumn("turn", F.pmod(F.shiftright("rid", 36), F.lit(routers))).groupBy("owner", "turn").applyInArrow(_routed(wide, bits), "rid long, owner long, payload binary")
+        sent = scratch.write(routed, "routed")
     bitmaps = sent.groupBy("owner").applyInArrow(_answer, "owner long, rid long, bitmap binary")
     suspects = scratch.write(sent.join(bitmaps, ["owner", "rid"]).select("owner", "payload", "bitmap").mapInArrow(_suspects(bits), "fp long").distinct(), "suspects")
     suspects = keyed_side(suspects)
     equal = rows.select("text").mapInArrow(_normalised, "fp long, norm binary").join(suspects, "fp", "left_semi").groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("n"))
     equal = equal.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "n").where("n > 1")
     claimed = seen.join(suspects, "fp", "left_semi").groupBy("fp", "sha").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "rid")).alias("top"))
-    return seen, scratch.write(claimed.join(equal, ["fp", "sha", "n"]), "groups")
+    groups = scratch.write(claimed.join(equal, ["fp", "sha", "n"]), "groups")
+    scratch.keep("fingerprints", "groups")
+    return seen, groups, scratch
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,8 +221,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text, one stays. An empty table gives an empty result; other columns, even
     ones named like those of the result, are ignored.
     """
-    seen, groups = _groups(docs, id_col, text_col)
-    found = seen.join(groups.select("fp", "sha", "n", "top"), ["fp", "sha"], "left")
+    seen, groups, scratch = _groups(docs, id_col, text_col)
+    found = hot_join(seen, groups.select("sha", "n", "top"), "sha", "rid", scratch, "hot", "left", groups.select("sha", F.col("n").alias("rows")))
     return found.select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"),
@@ -201,10 +238,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Groups are joined back by SHA-256, broadcast only if they are few enough.
     Rows that repeat id and text are told apart last, among themselves.
     """
-    seen, groups = _groups(docs, id_col, text_col)
-    scratch = Scratch(docs.sparkSession, "exact-kept")
+    seen, groups, scratch = _groups(docs, id_col, text_col)
     keep = scratch.write(groups.select(F.col("sha").alias(_SHA), F.col("top.id").alias(_TOP), F.lit(True).alias(_IN)), "keep")
-    tied = seen.join(groups, ["fp", "sha"]).where(F.col("id").eqNullSafe(F.col("top.id"))).groupBy("fp", "sha").count().where("count > 1")
+    sizes = groups.select("sha", F.col("n").alias("rows"))
+    tied = hot_join(seen, groups.select("sha", "top"), "sha", "rid", scratch, "hot", "inner", sizes).where(F.col("id").eqNullSafe(F.col("top.id"))).groupBy("sha").count().where("count > 1")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +249,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, _SHA])
 
     marked = docs.mapInArrow(step, T.StructType([*docs.schema.fields, T.StructField(_SHA, T.BinaryType())]))
-    held = marked.join(keyed_side(keep), _SHA, "left").where(F.col(_IN).isNull() | F.col(id_col).eqNullSafe(F.col(_TOP)))
+    held = hot_join(marked, keep, _SHA, id_col, scratch, "hot-kept", "left", sizes.withColumnRenamed("sha", _SHA)).where(F.col(_IN).isNull() | F.col(id_col).eqNullSafe(F.col(_TOP)))
     if not tied.isEmpty():
         held = held.where(F.col(_IN).isNull()).unionByName(held.where(F.col(_IN)).dropDuplicates([_SHA]))
     return held.select(*docs.columns)

@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumine.llm.blocks import cells, runs, whole_runs
-from vellumine.llm.common import Scratch, arrow_type, bounded_side, byte_texts, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
+from vellumine.llm.common import Scratch, arrow_type, bounded_side, byte_texts, hot_join, keyed_side, lower_ascii, partition_id, signed, small_batches, text_input
 from vellumine.llm.components import connected_components
 from vellumine.llm.shingles import shingle_sets
 
 #: N-grams that go last in the order at most (their number only steers how much
 #: work there is), and from which count on.
 COMMON, COMMON_FROM = 1_000_000, 16
+#: Level from which an n-gram's documents never meet in one task: 2 ** HOT_LEVEL.
+HOT_LEVEL = 12
 #: How much more of a document than its prefix is counted, as common n-grams that
 #: leave a prefix make room for others.
 AHEAD = 1.25
@@ -70,8 +72,8 @@ def _up(size: Column, share: Fraction) -> Column:
     return F.floor((size * F.lit(share.numerator) + F.lit(share.denominator - 1)) / F.lit(share.denominator)).cast("long")
 
 
-def _common(rows: DataFrame, n: int, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of many documents, ascending, and their level (log2 of the count).
+def _common(rows: DataFrame, n: int, least: Fraction, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """N-grams of many documents, ascending, their level (log2 of the count), and a table of very common ones.
 
     Every n-gram that can come first in some document is counted in all of those;
     of others, those that occur twice or more among some two million of a task.
@@ -99,20 +101,20 @@ def _common(rows: DataFrame, n: int, least: Fraction) -> tuple[np.ndarray, np.nd
                     first, later, size = [], [], 0
         yield from give()
 
-    scratch = Scratch(rows.sparkSession, "ngram-common")
     counted = rows.select("text").mapInArrow(step, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON_FROM)
     table = scratch.write(counted.select("token", F.floor(F.log2("c")).cast("int").alias("level")), "common")
+    hot = table.where(F.col("level") >= HOT_LEVEL).select("token")
     total, from_level = 0, None
     for r in sorted(table.groupBy("level").count().collect(), key=lambda r: -r.level):
         if total + r["count"] > COMMON:
             break
         total, from_level = total + r["count"], r.level
     if from_level is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), hot
     found = table.where(F.col("level") >= from_level).toArrow()
     tokens = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], found.column("level").to_numpy().astype(np.int64)[order]
+    return tokens[order], found.column("level").to_numpy().astype(np.int64)[order], hot
 
 
 def _prefixes(rows: DataFrame, n: int, least: Fraction, common) -> DataFrame:
@@ -153,7 +155,7 @@ def _prefixes(rows: DataFrame, n: int, least: Fraction, common) -> DataFrame:
 
 
 def _bucket_pairs(least: Fraction):
-    """From rows sorted by token: pairs of small buckets (kind 0), rows of large ones (kind 1)."""
+    """From rows sorted by (is_hot, token): pairs of small buckets (kind 0), rows of large and hot ones (kind 1)."""
     names = ["kind", "a", "b", "na", "nb"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,10 @@ def _bucket_pairs(least: Fraction):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(gid[a]), pa.array(gid[b]), pa.array(size[a]), pa.array(size[b])], names)
 
         for batch in batches:
-            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("token", "gid", "n"), strict=True)]
+            hot = batch.column("is_hot").to_numpy(zero_copy_only=False).astype(bool)
+            if hot.any():
+                yield passed(*(batch.column(c).to_numpy()[hot] for c in ("token", "gid", "n")))
+            rows = [np.concatenate([x, batch.column(c).to_numpy()[~hot]]) for x, c in zip(held, ("token", "gid", "n"), strict=True)]
             if large is not None:
                 cut = int(np.searchsorted(rows[0], large, side="right"))
                 if cut:
@@ -263,20 +268,22 @@ def _dense(least: Fraction):
     """From rows sorted by cell: links that connect what is similar in the cell.
 
     What two sets share is at most the sum of the smaller counts of each class of
-    hashes; pairs that this rules out, and those already connected, aren't
-    compared.
+    hashes; pairs that this rules out, and those already connected (by ``comp`` or
+    in the cell), aren't compared.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "cell"):
-            block, other, cid = (table.column(x).to_numpy() for x in ("own", "other", "cid"))
+            block, other, cid, comp = (table.column(x).to_numpy() for x in ("own", "other", "cid", "comp"))
             raw, left, right = table.column("tokens"), [], []
             for start, end in zip(*runs(table.column("cell").to_numpy()), strict=True):
+                root = np.unique(comp[start:end], return_inverse=True)[1].ravel()
+                if not root.any():
+                    continue
                 sets = [np.frombuffer(x, np.uint64) for x in raw.slice(start, end - start).to_pylist()]
                 n = np.array([len(x) for x in sets], np.int64)
                 counts = np.stack([np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) for x in sets])
                 counts = counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
-                root = np.arange(len(sets))
                 own, cross = block[start:end], (block[start:end] != other[start:end]).any()
                 for k in range(len(sets) - 1):
                     after = slice(k + 1, None)
@@ -297,18 +304,19 @@ def _dense(least: Fraction):
     return step
 
 
-def _dense_links(large: DataFrame, members: DataFrame, tokens: DataFrame, least: Fraction, scratch: Scratch) -> DataFrame:
-    """Links (a, b) among members of groups that share very common prefix entries.
+def _dense_links(edges: DataFrame, members: DataFrame, tokens: DataFrame, least: Fraction, scratch: Scratch, label: str) -> DataFrame:
+    """Links (a, b) among members (gid, cid, n, comp) of groups that edges (a, b) connect.
 
-    Groups that such entries connect are a cluster; clusters are dealt to cells
-    of two blocks, and a cell gives no more links than it has members.
+    A group alone is an edge to itself. Connected groups are a cluster; clusters are
+    dealt to cells of two blocks, and a cell gives no more links than it has members.
     """
-    star = large.join(large.groupBy("token").agg(F.min("gid").alias("b")), "token").select(F.col("gid").alias("a"), "b").distinct()
-    clusters = connected_components(star, scratch, "dense").select(F.col("id").alias("gid"), F.col("component").alias("cluster"))
-    entries = scratch.write(clusters.join(members.select("gid", "cid", "n"), "gid").select("cluster", "cid", "n"), "dense-members")
-    placed = scratch.write(cells(entries, ["cluster"], "cid", DENSE_BLOCK, scratch, "dense-blocks", "n", SPREAD, FINE), "dense-cells")
+    joined = connected_components(edges, scratch, label).select(F.col("id").alias("gid"), F.col("component").alias("cluster"))
+    alone = edges.where("a = b").select(F.col("a").alias("gid")).distinct().join(joined, "gid", "left_anti").withColumn("cluster", F.col("gid"))
+    clusters = scratch.write(joined.unionByName(alone), f"{label}-clusters")
+    entries = scratch.write(hot_join(members, clusters, "gid", "cid", scratch, f"{label}-hot").select("cluster", "cid", "n", "comp"), f"{label}-members")
+    placed = scratch.write(cells(entries, ["cluster"], "cid", DENSE_BLOCK, scratch, f"{label}-blocks", "n", SPREAD, FINE), f"{label}-cells")
     dealt = tokens.join(keyed_side(placed), "cid").repartition("cell").sortWithinPartitions("cell")
-    return scratch.write(dealt.select("cell", "own", "other", "cid", "tokens").mapInArrow(_dense(least), "a long, b long"), "dense-links")
+    return scratch.write(dealt.select("cell", "own", "other", "cid", "comp", "tokens").mapInArrow(_dense(least), "a long, b long"), f"{label}-links")
 
 
 def _compared_in_cells(least: Fraction):
@@ -342,17 +350,20 @@ def _compared_in_cells(least: Fraction):
     return step
 
 
-def _verified_in_cells(pairs: DataFrame, sets: DataFrame, least: Fraction, scratch: Scratch, label: str) -> DataFrame:
-    """As ``_verified``, for pairs that may be dense.
+def _verified_in_cells(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, least: Fraction, scratch: Scratch, label: str) -> DataFrame:
+    """As ``_verified``, for pairs that may be dense; ``sizes`` (cid, n) weigh them.
 
-    Pairs fall into clusters, clusters into blocks, and two blocks make a cell. A
-    set goes to the cells of its pairs, so it moves as often as its cluster has
-    blocks, however many pairs it is in; a task holds two blocks.
+    Pairs fall into clusters, clusters into blocks of so many documents and
+    n-grams, and two blocks make a cell. A set goes to the cells of its pairs, so it
+    moves as often as its cluster has blocks, however many pairs it is in; a task
+    holds two blocks.
     """
     pairs = scratch.write(pairs.distinct(), f"{label}-pairs")
     clusters = connected_components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, f"{label}-clusters")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = scratch.write(clusters.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), f"{label}-blocks")
+    clusters = scratch.write(clusters, f"{label}-clusters")
+    weighed = sizes.withColumnRenamed("cid", "id").join(keyed_side(clusters), "id")
+    blocks = scratch.write(weighed.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / DENSE_BLOCK)).alias("blocks")), f"{label}-sizes")
+    dealt = scratch.write(hot_join(clusters, blocks, "component", "id", scratch, f"{label}-hot").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), f"{label}-blocks")
     ends = pairs.join(dealt.select(F.col("id").alias("x"), "component", F.col("block").alias("bx")), "x").join(dealt.select(F.col("id").alias("y"), F.col("block").alias("by")), "y")
     celled = scratch.write(ends.select(F.xxhash64("component", F.least("bx", "by"), F.greatest("bx", "by")).alias("cell"), "x", "y"), f"{label}-cells")
     ends = celled.select("cell", "x").unionByName(celled.select("cell", F.col("y").alias("x"))).distinct()
@@ -377,22 +388,26 @@ def _apart(rows: DataFrame, keys: list[str], least: Fraction) -> DataFrame:
     return others.join(every, keys).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & near).select(*keys, "x", "y", "nx", "ny")
 
 
-def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (rid, id, n, fp) and classes (fp, cid, w, comp, smallest, least)."""
+def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Scratch]:
+    """All rows (rid, id, n, fp), classes (fp, cid, w, comp, smallest, least), and where both are written."""
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "ngrams")
     rows = text_input(docs, id_col, text_col)
-    common = spark.sparkContext.broadcast(_common(rows, n, least))
+    *known, hot = _common(rows, n, least, scratch)
+    common = spark.sparkContext.broadcast(tuple(known))
     sets = scratch.write(_prefixes(rows, n, least, common), "prefixes")
     filled = sets.where("n > 0")
     classes = filled.groupBy("n", "fp", "gkey").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("w"), F.min("id").alias("least"))
     classes = scratch.write(classes, "classes")
-    groups = classes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members"))
-    members = scratch.write(classes.join(groups, "gkey").select("cid", "gid", "members", "n", "fp"), "members")
+    groups = scratch.write(classes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
+    members = scratch.write(hot_join(classes, groups, "gkey", "cid", scratch, "hot-groups").select("cid", "gid", "members", "n", "fp", F.col("cid").alias("comp")), "members")
 
     index = sets.select(F.col("rid").alias("gid"), "n", "prefix").join(members.where("cid = gid").select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
-    met = scratch.write(index.repartition("token").sortWithinPartitions("token").select("token", "gid", "n").mapInArrow(_bucket_pairs(least), "kind int, a long, b long, na long, nb long"), "met", "kind")
+    # entries of very common n-grams make large buckets in any case: they are dealt out, not gathered
+    marked = index.join(keyed_side(hot.withColumn("is_hot", F.lit(True))), "token", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    dealt = marked.withColumn("place", F.when(F.col("is_hot"), F.xxhash64("token", "gid")).otherwise(F.xxhash64("token"))).repartition("place").sortWithinPartitions("is_hot", "token")
+    met = scratch.write(dealt.select("token", "gid", "n", "is_hot").mapInArrow(_bucket_pairs(least), "kind int, a long, b long, na long, nb long"), "met", "kind")
     large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"))
     in_large = scratch.write(large.groupBy("gid").agg(F.count(F.lit(1)).alias("large")), "in-large")
     shared = met.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
@@ -422,23 +437,35 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
 
     star = pairs.groupBy(F.col("b").alias("y")).agg(F.min("a").alias("x")).select("x", "y")
     inside = members.where("cid <> gid").select(F.col("gid").alias("x"), F.col("cid").alias("y"))
-    dense = _dense_links(large, members, tokens, least, scratch)
+    firsts = scratch.write(large.groupBy("token").agg(F.min("gid").alias("b")), "large-firsts")
+    edges = hot_join(large, firsts, "token", "gid", scratch, "hot-tokens").select(F.col("gid").alias("a"), "b").distinct()
+    dense = _dense_links(scratch.write(edges, "dense-edges"), members, tokens, least, scratch, "dense")
     links = _verified(star.unionByName(inside), tokens, least, scratch, "first").unionByName(dense)
     found = connected_components(links, scratch, "first")
-    placed = scratch.write(members.join(found.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "members", "n", "fp", F.coalesce("component", "cid").alias("comp")), "placed")
-
-    where = placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_pairs = pairs.join(where.select(F.col("gid").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), "a").join(where.select(F.col("gid").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi")), "b").where("not (alo = ahi and alo = blo and alo = bhi)").select("a", "b")
-    expanded = open_pairs.join(placed.select(F.col("gid").alias("a"), F.col("cid").alias("x"), F.col("comp").alias("cx")), "a").join(placed.select(F.col("gid").alias("b"), F.col("cid").alias("y"), F.col("comp").alias("cy")), "b").where("cx <> cy").select("x", "y")
-    in_groups = _apart(placed.where("members > 1").select("gid", "cid", "n", "comp"), ["gid"], least).select("x", "y")
+    placed = scratch.write(members.drop("comp").join(found.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "gid", "members", "n", "fp", F.coalesce("component", "cid").alias("comp")), "placed")
+
+    where = scratch.write(placed.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")), "group-comps")
+    ends = lambda x, y: where.select(F.col("gid").alias(x), F.col("lo").alias(f"lo{y}"), F.col("hi").alias(f"hi{y}"), F.col("members").alias(f"m{y}"))
+    open_pairs = scratch.write(pairs.join(ends("a", 1), "a").join(ends("b", 2), "b").where("not (lo1 = hi1 and lo1 = lo2 and lo1 = hi2)").select("a", "b", (F.col("m1") * F.col("m2") > PAIRED * PAIRED).alias("many")), "open-pairs")
+    few = open_pairs.where("not many")
+    expanded = few.join(placed.select(F.col("gid").alias("a"), F.col("cid").alias("x"), F.col("comp").alias("cx")), "a").join(placed.select(F.col("gid").alias("b"), F.col("cid").alias("y"), F.col("comp").alias("cy")), "b").where("cx <> cy").select("x", "y")
+    in_groups = _apart(placed.where(F.col("members").between(2, PAIRED)).select("gid", "cid", "n", "comp"), ["gid"], least).select("x", "y")
     rest = expanded.unionByName(in_groups).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = _verified_in_cells(rest, tokens, least, scratch, "second")
+    more = _verified_in_cells(rest, placed.select("cid", "n"), tokens, least, scratch, "second")
+    # groups of many members are compared in cells, without a row for each pair
+    big = open_pairs.where("many").select("a", "b").unionByName(where.where((F.col("members") > PAIRED) & (F.col("lo") != F.col("hi"))).select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+    big = scratch.write(big, "big-edges")
+    if not big.isEmpty():
+        more = more.unionByName(_dense_links(big, placed.select("gid", "cid", "n", "comp"), tokens, least, scratch, "big"))
     at = placed.select("cid", "comp")
     between = more.join(at.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    last = connected_components(between, scratch, "second").select(F.col("id").alias("comp"), "component")
-    final = placed.join(last, "comp", "left").select("cid", "fp", F.coalesce("component", "comp").alias("comp")).join(classes.select("cid", "w", "least"), "cid")
-    ends = final.groupBy("comp").agg(F.min("least").alias("smallest"), F.min(F.struct(F.col("least").isNull(), "least", "cid")).alias("first"), F.count(F.lit(1)).alias("classes"))
-    return sets.select("rid", "id", "n", "fp"), scratch.write(final.join(ends, "comp"), "final")
+    last = scratch.write(connected_components(between, scratch, "second").select(F.col("id").alias("comp"), "component"), "last")
+    final = hot_join(placed, last, "comp", "cid", scratch, "hot-last", "left").select("cid", "fp", F.coalesce("component", "comp").alias("comp")).join(classes.select("cid", "w", "least"), "cid")
+    final = scratch.write(final, "components")
+    ends = scratch.write(final.groupBy("comp").agg(F.min("least").alias("smallest"), F.min(F.struct(F.col("least").isNull(), "least", "cid")).alias("first"), F.count(F.lit(1)).alias("classes")), "ends")
+    final = scratch.write(hot_join(final, ends, "comp", "cid", scratch, "hot-ends").where("classes > 1 or w > 1"), "final")
+    scratch.keep("prefixes", "final")
+    return sets.select("rid", "id", "n", "fp"), final, scratch
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -449,9 +476,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4
     an id. A null id is never the smallest unless all of its component are null.
     An empty table gives an empty result; other columns are ignored.
     """
-    rows, classes = _joined(docs, n, least, id_col, text_col)
-    found = rows.join(classes.select("fp", "smallest"), "fp", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("smallest")).alias("component_id"))
+    rows, classes, scratch = _joined(docs, n, least, id_col, text_col)
+    found = hot_join(rows, classes.select("fp", "smallest"), "fp", "rid", scratch, "hot-sets", "left")
+    alone = (F.col("n") == 0) | F.col("smallest").isNull()
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -460,12 +488,12 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction
     Texts without words all stay. Of rows that share the smallest id and the
     set, one stays.
     """
-    rows, classes = _joined(docs, n, least, id_col, text_col)
-    scratch = Scratch(docs.sparkSession, "ngrams-kept")
-    several = classes.where("classes > 1 or w > 1").select(F.col("fp").alias(_FP), F.struct((F.col("cid") == F.col("first.cid")).alias("stays"), F.col("first.least").alias("id")).alias(_KEEP))
+    rows, classes, scratch = _joined(docs, n, least, id_col, text_col)
+    several = classes.select(F.col("fp").alias(_FP), F.struct((F.col("cid") == F.col("first.cid")).alias("stays"), F.col("first.least").alias("id")).alias(_KEEP))
     several = scratch.write(several, "several")
     stays = F.col(_KEEP).isNull() | (F.col(f"{_KEEP}.stays") & F.col(id_col).eqNullSafe(F.col(f"{_KEEP}.id")))
-    tied = rows.join(several, F.col("fp") == F.col(_FP)).where(F.col(f"{_KEEP}.stays") & F.col("id").eqNullSafe(F.col(f"{_KEEP}.id"))).groupBy("fp").count().where("count > 1")
+    staying = scratch.write(several.where(F.col(f"{_KEEP}.stays")).withColumnRenamed(_FP, "fp"), "staying")
+    tied = hot_join(rows, staying, "fp", "rid", scratch, "hot-staying").where(F.col("id").eqNullSafe(F.col(f"{_KEEP}.id"))).groupBy("fp").count().where("count > 1")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,7 +501,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.binary())], [*batch.schema.names, _FP])
 
     marked = docs.mapInArrow(step, T.StructType([*docs.schema.fields, T.StructField(_FP, T.BinaryType())]))
-    held = marked.join(keyed_side(several), _FP, "left").where(stays)
+    copies = classes.select(F.col("fp").alias(_FP), F.col("w").alias("rows"))
+    held = hot_join(marked, several, _FP, id_col, scratch, "hot-several", "left", copies).where(stays)
     if not tied.isEmpty():
         held = held.where(F.col(_KEEP).isNull()).unionByName(held.where(F.col(_KEEP).isNotNull()).dropDuplicates([_FP]))
     return held.select(*docs.columns)
