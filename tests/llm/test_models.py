@@ -1,12 +1,15 @@
 import os
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tests.llm.helpers import ODD, empty, frame
 from vellumine.llm import language_id, license_scan, quality
-from vellumine.llm.common import lower_ascii
+from vellumine.llm.common import Scratch, lower_ascii
 
 HERE = os.path.isdir(DATA)
 
@@ -41,6 +44,65 @@ def test_language_edge_cases(spark):
     assert language_id.identify_languages(empty(spark), model).count() == 0
 
 
+def test_letters_are_letters_by_category():
+    assert not any(map(language_id.has_letter, ("", "12 ²", "½", "Ⅷ", "①", "_", "٣", "!?", "🙂")))
+    assert all(map(language_id.has_letter, ("a", "² b", "ß", "日", "ª", "ʰ", "م")))
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [*ODD, (20, "² ½ Ⅷ ①"), *((100 + i, "der die und nicht ist das ein zu wir " * 9 if i % 2 else "the of and to in is that it was " * 9) for i in range(60))]
+    docs = frame(spark, rows).drop("lang").withColumn("lang", F.when(F.col("doc_id") >= 100, F.when(F.col("doc_id") % 2 == 1, "de").otherwise("en")))
+    key = lambda df: Counter(tuple(str(x) for x in r) for r in df.collect())
+    model = language_id.language_model(docs)
+    told = {(r.doc_id, r.lang_pred): r.score for r in language_id.identify_languages(docs, model).collect()}
+    kept = language_id.keep_identified(docs, model, 0.4)
+    assert kept.columns == docs.columns and not key(kept) - key(docs)
+    want = Counter(str(i) for i, t in rows for lang in ("de", "en") if i is not None and told.get((i, lang), 0) >= 0.4)
+    assert Counter(str(r.doc_id) for r in kept.collect() if r.doc_id is not None) == want and want["20"] == want["3"] == 0 and want["100"] == 1
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(100, 160)], "doc_id long, quality int")
+    forest = quality.quality_model(docs, labels)
+    good = quality.keep_quality(docs, forest)
+    scored = Counter(str(r.doc_id) for r in quality.score_quality(docs, labels).where("predicted = 1").collect())
+    assert good.columns == docs.columns and not key(good) - key(docs) and Counter(str(r.doc_id) for r in good.collect()) == scored
+    for stage in (lambda d: language_id.keep_identified(d, model, 0.4), lambda d: quality.keep_quality(d, forest)):
+        assert stage(docs.limit(0)).count() == 0 and stage(docs.limit(0)).columns == docs.columns
+    nothing = quality.quality_model(docs.limit(0), labels)
+    assert key(quality.keep_quality(docs, nothing)) == key(docs) and key(language_id.keep_identified(docs, None, 0.4)) == key(docs)
+
+
+def test_hot_labels_are_weighed(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAINING_ROWS", 50)
+    docs = spark.createDataFrame([(i % 3, f"text {i % 40} " * (i % 40)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 3, int(i % 3 == 1)) for i in range(90)], "doc_id long, quality int")
+    scratch = Scratch(spark, "test")
+    seen = []
+    monkeypatch.setattr(quality, "grow", lambda rows, labels, times: seen.append((len(rows), times.sum())))
+    quality.quality_model(docs, labels)
+    assert seen[0][0] <= 100 and seen[0][1] > seen[0][0] and scratch.labels == set()
+
+
+@pytest.mark.skipif(not HERE, reason="no test data")
+def test_quality_is_a_plain_recomputation(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    texts, marks = {r.doc_id: (r.text or "").encode() for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    found = quality.score_quality(docs, labels).collect()
+    learned = sorted((np.array(quality.statistics(texts[i])).tobytes(), q) for i, q in marks.items() if i in texts and q is not None and not held[i])
+    distinct = sorted(Counter(learned).items())
+    forest = quality.grow(np.stack([np.frombuffer(x) for (x, _), _ in distinct]), np.array([float(q) for (_, q), _ in distinct]), np.array([float(c) for _, c in distinct]))
+    repeated = quality.grow(np.stack([np.frombuffer(x) for x, _ in learned]), np.array([float(q) for _, q in learned]))
+    for r in found:
+        row = np.array([quality.statistics(texts[r.doc_id])])
+        total = forest.start
+        for feature, split, value in zip(forest.feature, forest.split, forest.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(np.searchsorted(forest.edges[feature[node]], row[0, feature[node]], side="left") > split[node])
+            total += value[node - len(feature)]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-total))) and r.held_out == held[r.doc_id] and r.predicted == (r.score >= 0.7)
+    assert abs(repeated.start - forest.start) < 1e-12
+
+
 @pytest.mark.skipif(not HERE, reason="no test data")
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -2,8 +2,8 @@
 
 Bytes are embedded, filters of several widths slide over a window, the largest
 response of each filter is kept, and a softmax layer names the language. The
-network is trained in numpy on a bounded sample of labelled texts. When it is
-applied, every text is cut into fixed-length windows that cover all its bytes;
+network is trained in numpy on a bounded sample of labelled texts, all windows of
+each. When it is applied, every text is cut into fixed-length windows that cover all its bytes;
 filters are looked up in tables of byte pairs, a block of windows at a time, and
 a text's probabilities are the mean of its windows', weighted by their bytes.
 """
@@ -20,16 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumine.llm.common import arrow_type, byte_texts, crc_of_id, lower_ascii, small_batches, text_input
+from vellumine.llm.common import Scratch, arrow_type, byte_texts, crc_of_id, keyed_side, lower_ascii, small_batches, text_input
 
-#: The training sample: about so many texts of each language, with so many windows each.
-TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 1200, 2
+#: The training sample: about so many texts of each language, and of all together.
+TEXTS_PER_LANGUAGE, TEXTS = 1200, 24_000
 WINDOW = 256
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _BLOCK = 48
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a character of a category that begins with L."""
+    return any(x[0].isalpha() for x in _WORDLIKE.finditer(text))
+
+
 @dataclass
 class ByteCnn:
     """Embedding (256, d), filters by width (width, d, filters), and a softmax layer."""
@@ -102,15 +107,19 @@ class ByteCnn:
         return out
 
 
-def train(windows: np.ndarray, labels: list[str], widths: tuple[int, ...] = (2, 3, 4), depth: int = 8, filters: int = 16, steps: int = 320, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCnn:
+def train(windows: np.ndarray, labels: list[str], texts: np.ndarray | None = None, widths: tuple[int, ...] = (2, 3, 4), depth: int = 8, filters: int = 16, steps: int = 320, batch: int = 64, rate: float = 0.01, seed: int = 7) -> ByteCnn:
     """Adam on the cross entropy; the gradient of a maximum goes to its place.
 
-    Languages are drawn equally often. The order of rows decides the result, so
-    give them in a fixed order.
+    A language is drawn, then one of its texts, then one of the text's windows, so
+    long texts weigh as much as short ones. ``texts`` (ascending) says which window
+    is whose. The order of rows decides the result, so give them in a fixed order.
     """
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    target = np.searchsorted(languages, labels)
+    texts = np.arange(len(labels)) if texts is None else texts
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(texts) > 0]))
+    ends = np.append(begins[1:], len(texts))
+    target = np.searchsorted(languages, labels)[begins]
     own = [np.flatnonzero(target == i) for i in range(len(languages))]
     hidden = filters * len(widths)
     names = ["embedding", *(f"filter{w}" for w in widths), *(f"bias{w}" for w in widths), "dense", "dense_bias"]
@@ -119,7 +128,8 @@ def train(windows: np.ndarray, labels: list[str], widths: tuple[int, ...] = (2,
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     for t in range(1, steps + 1):
         classes = rng.integers(0, len(languages), batch)
-        x = windows[[rng.choice(own[c]) for c in classes]].astype(np.int64)
+        chosen = np.array([rng.choice(own[c]) for c in classes])
+        x = windows[rng.integers(begins[chosen], ends[chosen])].astype(np.int64)
         embedded = p["embedding"][x]
         kept, responses = [], []
         for w in widths:
@@ -152,46 +162,49 @@ def train(windows: np.ndarray, labels: list[str], widths: tuple[int, ...] = (2,
     return ByteCnn(languages, p["embedding"], {w: p[f"filter{w}"].reshape(w, depth, filters) for w in widths}, {w: p[f"bias{w}"] for w in widths}, p["dense"], p["dense_bias"])
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
-    """Windows and labels of the training sample, in a fixed order.
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Windows, labels, and texts of the training sample, in a fixed order.
 
     A language's share is chosen from its count, so that about
-    ``TEXTS_PER_LANGUAGE`` texts are taken wherever there are more; a text is
-    in if its hash falls into that share.
+    ``TEXTS_PER_LANGUAGE`` texts are taken wherever there are more, fewer where very
+    many languages share ``TEXTS``; a text is in if its hash falls into that share.
     """
     rows = text_input(docs, id_col, text_col, docs[lang_col].cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_of_id("id"), F.lit(0)) % 4 != 2))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return np.zeros((0, WINDOW), np.uint8), []
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, TEXTS_PER_LANGUAGE / n))])
-    drawn = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            windows, langs = [], []
-            for text, lang in zip(byte_texts(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
-                count = max(1, -(-len(text) // WINDOW))
-                for k in range(min(count, WINDOWS_PER_TEXT)):
-                    at = k * (count // min(count, WINDOWS_PER_TEXT)) * WINDOW
-                    window = lower_ascii(text[at : at + WINDOW])
-                    if _LETTER.search(window.decode("utf-8", "ignore")):
-                        windows.append(window.ljust(WINDOW, b"\0"))
-                        langs.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(langs, pa.string())], ["bytes", "lang"])
-
-    found = sorted((r.lang, bytes(r.bytes)) for r in drawn.mapInArrow(step, "bytes binary, lang string").collect())
-    return np.frombuffer(b"".join(x for _, x in found), np.uint8).reshape(-1, WINDOW), [x for x, _ in found]
+    scratch = Scratch(docs.sparkSession, "languages")
+    # equal texts are drawn together, so each is taken once
+    counts = scratch.write(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
+    languages = counts.count()
+    each = min(TEXTS_PER_LANGUAGE, max(1, TEXTS // max(languages, 1)))
+    drawn = rows.join(keyed_side(counts), "lang").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(each) / F.col("n") * (1 << 30)).select("lang", "text").distinct()
+    drawn = drawn.withColumn("key", F.xxhash64("text")).toArrow()
+    scratch.drop()
+    windows, labels, texts = [], [], []
+    found = sorted(zip(drawn.column("lang").to_pylist(), drawn.column("key").to_pylist(), byte_texts(drawn.column("text").combine_chunks()), strict=True))
+    for number, (lang, _, text) in enumerate(found):
+        low = lower_ascii(text)
+        for at in range(0, max(len(low), 1), WINDOW):
+            window = low[at : at + WINDOW]
+            if has_letter(window.decode("utf-8", "ignore")):
+                windows.append(window.ljust(WINDOW, b"\0"))
+                labels.append(lang)
+                texts.append(number)
+    return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW), labels, np.array(texts, np.int64)
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
-    """Train on rows of ``docs`` whose crc32(id) mod 4 is not 2; None without any label."""
-    windows, labels = _sample(docs, id_col, text_col, lang_col)
-    return train(windows, labels) if labels else None
+    """Train on rows of ``docs`` whose crc32(id) mod 4 is not 2; None without any label.
+
+    The sample of at most about ``TEXTS`` whole texts goes to the driver; texts that
+    repeat under one language are one of it.
+    """
+    small_batches(docs.sparkSession)
+    windows, labels, texts = _sample(docs, id_col, text_col, lang_col)
+    return train(windows, labels, texts) if labels else None
 
 
 def _predict(model: ByteCnn | None, column: pa.Array) -> tuple[list[str], list[float]]:
     raw = byte_texts(column)
-    named = [i for i, x in enumerate(raw) if model is not None and _LETTER.search(x.decode("utf-8", "replace"))]
+    named = [i for i, x in enumerate(raw) if model is not None and has_letter(x.decode("utf-8", "replace"))]
     langs, scores = [UNKNOWN] * len(raw), [0.0] * len(raw)
     if named:
         found = model.text_probabilities([lower_ascii(raw[i]) for i in named])
@@ -206,7 +219,9 @@ def identify_languages(docs: DataFrame, model: ByteCnn | None, id_col: str = "do
 
     A null text, and one without a letter, gets ``und`` and score 0, as does
     every text if there was nothing to learn from. A null id isn't held out.
-    Ties between languages go to the first by name. Other columns are ignored.
+    Ties between languages go to the first by name. Texts of any length are read
+    whole, some 4 MB at a time. Repeated rows give repeated results, an empty table
+    an empty one. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = text_input(docs, id_col, text_col)
@@ -225,6 +240,8 @@ def identify_languages(docs: DataFrame, model: ByteCnn | None, id_col: str = "do
 def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of ``least`` or more.
 
+    Null texts and those without letters go, at any length texts are judged whole,
+    repeated rows all stay or all go, and all columns are returned as they are.
     Without a model nothing is rejected.
     """
     if model is None:

@@ -85,11 +85,12 @@ class Forest:
         return 1 / (1 + np.exp(-total))
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, ridge: float = 2.0) -> Forest:
-    """Boost logistic loss. Equal gains go to the first feature and the lowest bin."""
+def grow(rows: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None, trees: int = 60, depth: int = 4, rate: float = 0.15, ridge: float = 2.0) -> Forest:
+    """Boost logistic loss; a row counts ``times``. Equal gains go to the first feature and the lowest bin."""
     n, width = rows.shape
+    times = np.ones(n) if times is None else times.astype(np.float64)
     edges = np.quantile(rows, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if n else np.zeros((width, BINS - 1))
-    share = (labels.sum() + 1) / (n + 2)
+    share = ((labels * times).sum() + 1) / (times.sum() + 2)
     forest = Forest(edges, np.zeros((0, 2**depth - 1), np.int64), np.zeros((0, 2**depth - 1), np.int64), np.zeros((0, 2**depth)), math.log(share / (1 - share)))
     if not n or labels.min() == labels.max():
         return forest
@@ -98,7 +99,7 @@ def grow(rows: np.ndarray, labels: np.ndarray, trees: int = 60, depth: int = 4,
     features, splits, values = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-total))
-        gradient, weight = labels - p, p * (1 - p)
+        gradient, weight = (labels - p) * times, p * (1 - p) * times
         feature, split = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, BINS, np.int64)
         node = np.zeros(n, np.int64)
         for level in range(depth):
@@ -144,21 +145,36 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(step, T.StructType([T.StructField("id", kind), T.StructField("features", T.BinaryType())]))
 
 
-def _trained(described: DataFrame, labels: DataFrame, id_col: str, label_col: str, scratch: Scratch) -> Forest:
+def _drawn(labels: DataFrame, id_col: str, label_col: str, scratch: Scratch) -> DataFrame:
+    """(id, label, times) of labelled ids to learn from: at most about ``TRAINING_ROWS``."""
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull() & (crc_of_id("id") % 4 != 2))
-    count = marked.count()
-    share = min(1.0, TRAINING_ROWS / max(count, 1))
-    drawn = scratch.write(marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)), "labels")
-    rows = sorted((r.id, r.label, bytes(r.features)) for r in described.join(keyed_side(drawn), "id").collect())
-    features = np.frombuffer(b"".join(x for _, _, x in rows), np.float64).reshape(-1, len(FEATURES))
-    return grow(features, np.array([float(y > 0) for _, y, _ in rows]))
+    share = min(1.0, TRAINING_ROWS / max(marked.count(), 1))
+    in_share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)
+    return scratch.write(marked.where(in_share).groupBy("id", "label").agg(F.count(F.lit(1)).alias("times")), "labels")
+
+
+def _trained(described: DataFrame, scratch: Scratch) -> Forest:
+    """From (label, times, features): equal rows are one with their times, and a hash bounds the others."""
+    rows = scratch.write(described.groupBy("label", "features").agg(F.sum("times").alias("times")), "examples")
+    share = min(1.0, TRAINING_ROWS / max(rows.count(), 1))
+    found = sorted((bytes(r.features), r.label, r.times) for r in rows.where(F.pmod(F.xxhash64("features", "label"), F.lit(1 << 30)) < share * (1 << 30)).collect())
+    features = np.frombuffer(b"".join(x for x, _, _ in found), np.float64).reshape(-1, len(FEATURES))
+    return grow(features, np.array([float(y > 0) for _, y, _ in found]), np.array([float(t) for _, _, t in found]))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
-    """Grow trees from labelled rows whose crc32(id) mod 4 is not 2."""
+    """Grow trees from labelled rows whose crc32(id) mod 4 is not 2.
+
+    Only rows whose labels are drawn have their statistics computed.
+    """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality-model")
-    return _trained(_described(docs, id_col, text_col), labels, id_col, label_col, scratch)
+    drawn = _drawn(labels, id_col, label_col, scratch)
+    ids = scratch.write(drawn.select("id").distinct(), "ids")
+    texts = text_input(docs, id_col, text_col).join(keyed_side(ids), "id", "left_semi")
+    forest = _trained(_described(texts, "id", "text").join(keyed_side(drawn), "id"), scratch)
+    scratch.drop()
+    return forest
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -168,12 +184,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Null and empty texts have statistics too, and equal ones. Without labels, or
     with labels of one kind only, all texts get the labels' smoothed share. A
     null id isn't held out. Null labels are left out, repeated ones count as
-    often as they occur; other columns are ignored.
+    often as they occur. A text of any length is read whole, and has its own
+    statistics only in memory. Repeated rows give repeated results, an empty table
+    an empty one; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
     described = scratch.write(_described(docs, id_col, text_col), "statistics")
-    forest = _trained(described, labels, id_col, label_col, scratch)
+    drawn = _drawn(labels, id_col, label_col, scratch)
+    forest = _trained(described.join(keyed_side(drawn), "id"), scratch)
+    scratch.keep("statistics")
     kind = described.schema["id"].dataType
     arrow_kind = arrow_type(kind)
 
@@ -186,9 +206,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, forest: Forest, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more.
+    """The rows of ``docs`` that score ``least`` or more, with all their columns.
 
-    A forest that had nothing to tell apart rejects nothing.
+    Null texts are judged as empty ones, texts of any length whole; repeated rows
+    all stay or all go. A forest that had nothing to tell apart rejects nothing.
     """
     if not len(forest.feature):
         return docs
