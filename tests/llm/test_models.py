@@ -204,5 +204,49 @@ def test_related_licenses_are_told_apart():
     assert license_scan.find_licenses("SPDX-License-Identifier: CC0-1.0\nMIT") == []
 
 
+def common_words(template, words):
+    """Most words of a template that can be had in order, by plain dynamic programming."""
+    row = [0] * (len(words) + 1)
+    for x in template:
+        new = [0]
+        for j, y in enumerate(words):
+            new.append(max(row[j] + 1 if x == y else row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_every_template_against_every_block():
+    """Several notices in one block and on one line: none is lost, none is made up."""
+    rng = np.random.default_rng(11)
+    names = [x for x in license_scan.TEMPLATES if x not in ("BSD", "0BSD", "ISC")]
+    templates = license_scan._templates()
+    for round_ in range(60):
+        chosen = [names[k] for k in rng.choice(len(names), rng.integers(1, 5), replace=False)]
+        notices = [license_scan.TEMPLATES[x][int(rng.integers(2)) % len(license_scan.TEMPLATES[x])] for x in chosen]
+        changed = [x.replace("icensed", "icenced") if rng.random() < 0.3 and len(x.split()) > 9 else x for x in notices]
+        filler = [" ".join("".join(chr(97 + x) for x in rng.integers(0, 26, n)) for n in rng.integers(2, 9, rng.integers(1, 30))) for _ in notices]
+        text = ("\n" if round_ % 2 else " ").join(f"{f}. {n}" for f, n in zip(filler, changed, strict=True))
+        found = license_scan.find_licenses(text)
+        assert set(chosen) <= {x[0] for x in found}, (chosen, text)
+        words = license_scan._words(text)
+        possible = {t.license for t in templates if common_words(t.words, words) >= license_scan.LEAST_SHARE * len(t.words)}
+        assert {x[0] for x in found} <= possible
+        for name, _, _, gain, share, differing in found:
+            if name in chosen and changed[chosen.index(name)] == notices[chosen.index(name)]:
+                assert share == 1.0 and differing == [] and gain > 0
+
+
+def test_two_licenses_of_the_verdict():
+    for text, names in (("Released under the MIT License.\nLicensed under the Apache Licence, Version 2.0.", {"MIT", "Apache-2.0"}), ("Licensed under the MIT License. Portions: This work is licensed under the GNU General Public Licence, version 3.", {"MIT", "GPL-3.0"})):
+        assert {x[0] for x in license_scan.find_licenses(text)} == names
+
+
+def test_templates_are_ranked_by_compression():
+    templates = license_scan._templates()
+    for i, t in enumerate(templates):
+        best = license_scan.ranked(list(t.words), list(range(len(templates))))
+        assert dict(best)[i] >= best[0][1] - 0.15 and best == sorted(best, key=lambda x: (-x[1], x[0]))
+
+
 def test_lower_ascii():
     assert lower_ascii("ÀAZaz[".encode()) == "Àazaz[".encode()

@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-Lines that hold a license cue form candidate blocks. Every template that the
-words about a block suffice for is aligned with them, and those that are nearly
-all there are returned with the differing words; of licenses that match the same
-words, the one whose wording differs least. The notice is compressed on its own
-and once more with its template as a zstandard raw dictionary, and the reduction
-is returned; it decides nothing.
+Lines that hold a license cue form candidate blocks. A block's words are
+compressed on their own and once more with each template as a zstandard raw
+dictionary; templates are ranked by how much smaller that makes the block. In that
+order every template that the block has words enough for is aligned with it, and
+confirmed if its words are nearly all there; the differing words are returned. The
+rank decides where templates fit the wording equally well; it rejects none. Of
+licenses that match the same words, the one whose wording differs least stays.
 """
 
 from __future__ import annotations
@@ -93,8 +94,9 @@ GAP_LINES = 3
 #: A block holds so many characters of a long line around its cues, and no more lie
 #: between two cues; words of a notice are looked for as far beyond a block.
 AROUND = 600
-#: So many words beside a notice are compressed with it.
-BESIDE = 64
+#: So many words are ranked together, and so many beside them or beside a notice
+#: are compressed with them.
+RANKED, BESIDE = 512, 64
 #: The share of a template's words that a block must hold, in order.
 LEAST_SHARE = 0.85
 #: So many words between count as much as one that is missing.
@@ -176,6 +178,22 @@ def reduction(i: int, words: list[str]) -> float:
     return (size - len(given[i].compress(raw))) / size
 
 
+def ranked(words: list[str], candidates: list[int]) -> list[tuple[int, float]]:
+    """(template, reduction) from the largest reduction of the words to the smallest.
+
+    A block is compressed ``RANKED`` words at a time, each part with its neighbours'
+    ends, and a template counts by the part that it shrinks most.
+    """
+    alone, given = _compressors()
+    best = dict.fromkeys(candidates, -1.0)
+    for i in range(0, max(len(words), 1), RANKED):
+        raw = " ".join(words[max(0, i - BESIDE) : i + RANKED + BESIDE]).encode()
+        size = len(alone.compress(raw))
+        for k in candidates:
+            best[k] = max(best[k], (size - len(given[k].compress(raw))) / size)
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))
+
+
 def places(template: tuple[str, ...], words: list[str]) -> Iterator[tuple[float, list[int], list[str]]]:
     """Where a block holds a template: share of its words, their places, and what differs.
 
@@ -249,7 +267,8 @@ def find_licenses(text: str) -> list[tuple]:
 
     A block may hold several licenses; each is reported once, by its best
     template and place: the one with the largest share, then the fewest
-    differences, then the longest wording. A place whose matched words all lie
+    differences, then the longest wording, then the larger reduction of the block.
+    A place whose matched words all lie
     within another license's is no notice of its own if the other matches more
     words, or the same words better. Start and end are those of the block, or of
     the notice where it goes beyond; the reduction is that of the notice's words
@@ -260,9 +279,11 @@ def find_licenses(text: str) -> list[tuple]:
         tokens = [(x.group().lower(), x.start(), x.end()) for x in _WORD.finditer(text, start, end)]
         words = [x for x, _, _ in tokens]
         found, owners, there = [], defaultdict(set), Counter(words)
-        for i, template in enumerate(_templates()):
-            if sum(min(k, there[x]) for x, k in template.counts.items()) < LEAST_SHARE * len(template.words):
-                continue
+        templates = _templates()
+        # a count of words bounds exactly what an alignment can hold
+        candidates = [i for i, t in enumerate(templates) if sum(min(k, there[x]) for x, k in t.counts.items()) >= LEAST_SHARE * len(t.words)]
+        for i, _ in ranked(words, candidates) if candidates else ():
+            template = templates[i]
             for share, at, changed in places(template.words, words):
                 if another(template, changed):
                     continue
@@ -291,8 +312,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns the id, ``license``, ``start`` and ``end`` of the block in
     characters, ``reduction``, ``matched`` (share of the template's words),
     ``n_differences``, ``exact`` and ``wording`` (the differing words, those of
-    the template with a minus sign). Null and empty texts hold none; repeated
-    rows give repeated results; other columns are ignored.
+    the template with a minus sign). Null and empty texts hold none, and an empty
+    table gives an empty result; texts and lines of any length are read whole, in
+    blocks about their cues. Repeated rows give repeated results; other columns are
+    ignored.
     """
     small_batches(docs.sparkSession)
     rows = text_input(docs, id_col, text_col)
