@@ -12,7 +12,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumine.llm.common import Scratch
+from vellumine.llm.common import Scratch, temporary
 from vellumine.llm.exact_dedup import drop_exact_duplicates
 from vellumine.llm.language_id import keep_identified, language_model
 from vellumine.llm.ngram_join import drop_near_duplicates
@@ -58,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage has written goes when the next one is done."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            scratch.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
