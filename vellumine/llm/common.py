@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 #: Rows of one long key that a join side may have to be broadcast: about 100 MB
 #: in an executor. Beyond it the same join is dealt out by key.
 BROADCAST_ROWS = 1_000_000
-#: Rows of one key that a task of a join may get; a hotter key is dealt out.
-HOT_ROWS = 100_000
+#: Rows of one key that a task of a join may get; a hotter key is dealt out. Rows of
+#: a side up to which such a join broadcasts it instead: a few MB.
+HOT_ROWS, HOT_SIDE = 100_000, 50_000
 #: Rows and bytes that an Arrow batch of texts holds at most (a longer text is one batch).
 TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 1 << 24
 
@@ -120,11 +121,11 @@ def bounded_side(df: DataFrame, rows: int) -> DataFrame:
 def hot_join(rows: DataFrame, side: DataFrame, key: str, member: str, scratch: Scratch, label: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``side``, a written table of one row a ``key``.
 
-    A side too large for a broadcast is joined by key. Keys of more than
+    A side beyond ``HOT_SIDE`` rows is joined by key. Keys of more than
     ``HOT_ROWS`` rows are dealt out by ``member`` to as many parts as they need,
     so that no task gets all rows of one. ``counts`` (key, rows) saves counting.
     """
-    if side.count() <= BROADCAST_ROWS:
+    if side.count() <= min(HOT_SIDE, BROADCAST_ROWS):
         return rows.join(F.broadcast(side), key, how)
     counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")) if counts is None else counts
     counted = counted.withColumnRenamed("rows", "__parts").where(F.col("__parts") > HOT_ROWS)

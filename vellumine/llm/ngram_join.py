@@ -401,7 +401,7 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
     classes = filled.groupBy("n", "fp", "gkey").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("w"), F.min("id").alias("least"))
     classes = scratch.write(classes, "classes")
     groups = scratch.write(classes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("members")), "groups")
-    members = scratch.write(hot_join(classes, groups, "gkey", "cid", scratch, "hot-groups").select("cid", "gid", "members", "n", "fp", F.col("cid").alias("comp")), "members")
+    members = scratch.write(hot_join(classes, groups, "gkey", "cid", scratch, "hot-groups", counts=groups.select("gkey", F.col("members").alias("rows"))).select("cid", "gid", "members", "n", "fp", F.col("cid").alias("comp")), "members")
 
     index = sets.select(F.col("rid").alias("gid"), "n", "prefix").join(members.where("cid = gid").select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
     # entries of very common n-grams make large buckets in any case: they are dealt out, not gathered
@@ -463,7 +463,7 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
     final = hot_join(placed, last, "comp", "cid", scratch, "hot-last", "left").select("cid", "fp", F.coalesce("component", "comp").alias("comp")).join(classes.select("cid", "w", "least"), "cid")
     final = scratch.write(final, "components")
     ends = scratch.write(final.groupBy("comp").agg(F.min("least").alias("smallest"), F.min(F.struct(F.col("least").isNull(), "least", "cid")).alias("first"), F.count(F.lit(1)).alias("classes")), "ends")
-    final = scratch.write(hot_join(final, ends, "comp", "cid", scratch, "hot-ends").where("classes > 1 or w > 1"), "final")
+    final = scratch.write(hot_join(final, ends, "comp", "cid", scratch, "hot-ends", counts=ends.select("comp", F.col("classes").alias("rows"))).where("classes > 1 or w > 1"), "final")
     scratch.keep("prefixes", "final")
     return sets.select("rid", "id", "n", "fp"), final, scratch
 
@@ -477,7 +477,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4
     An empty table gives an empty result; other columns are ignored.
     """
     rows, classes, scratch = _joined(docs, n, least, id_col, text_col)
-    found = hot_join(rows, classes.select("fp", "smallest"), "fp", "rid", scratch, "hot-sets", "left")
+    found = hot_join(rows, classes.select("fp", "smallest"), "fp", "rid", scratch, "hot-sets", "left", classes.select("fp", F.col("w").alias("rows")))
     alone = (F.col("n") == 0) | F.col("smallest").isNull()
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("smallest")).alias("component_id"))
 
@@ -493,7 +493,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, least: Fraction = Fraction
     several = scratch.write(several, "several")
     stays = F.col(_KEEP).isNull() | (F.col(f"{_KEEP}.stays") & F.col(id_col).eqNullSafe(F.col(f"{_KEEP}.id")))
     staying = scratch.write(several.where(F.col(f"{_KEEP}.stays")).withColumnRenamed(_FP, "fp"), "staying")
-    tied = hot_join(rows, staying, "fp", "rid", scratch, "hot-staying").where(F.col("id").eqNullSafe(F.col(f"{_KEEP}.id"))).groupBy("fp").count().where("count > 1")
+    tied = hot_join(rows, staying, "fp", "rid", scratch, "hot-staying", counts=classes.select("fp", F.col("w").alias("rows"))).where(F.col("id").eqNullSafe(F.col(f"{_KEEP}.id"))).groupBy("fp").count().where("count > 1")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
