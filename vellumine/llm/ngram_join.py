@@ -155,7 +155,7 @@ def _prefixes(rows: DataFrame, n: int, least: Fraction, common) -> DataFrame:
 
 
 def _bucket_pairs(least: Fraction):
-    """From rows sorted by (is_hot, token): pairs of small buckets (kind 0), rows of large and hot ones (kind 1)."""
+    """From rows sorted by token, hot ones last: pairs of small buckets (kind 0), rows of large and hot ones (kind 1)."""
     names = ["kind", "a", "b", "na", "nb"]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +406,9 @@ def _joined(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str
     index = sets.select(F.col("rid").alias("gid"), "n", "prefix").join(members.where("cid = gid").select("gid"), "gid").select("gid", "n", F.explode("prefix").alias("token"))
     # entries of very common n-grams make large buckets in any case: they are dealt out, not gathered
     marked = index.join(keyed_side(hot.withColumn("is_hot", F.lit(True))), "token", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
-    dealt = marked.withColumn("place", F.when(F.col("is_hot"), F.xxhash64("token", "gid")).otherwise(F.xxhash64("token"))).repartition("place").sortWithinPartitions("is_hot", "token")
+    last = F.lit((1 << 63) - 1)  # hot entries come after the others
+    placed = marked.select("token", "gid", "n", "is_hot", F.when(F.col("is_hot"), last).otherwise(F.col("token")).alias("at"), F.when(F.col("is_hot"), F.xxhash64("token", "gid")).otherwise(F.col("token")).alias("place"))
+    dealt = placed.repartition("place").sortWithinPartitions("at")
     met = scratch.write(dealt.select("token", "gid", "n", "is_hot").mapInArrow(_bucket_pairs(least), "kind int, a long, b long, na long, nb long"), "met", "kind")
     large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"))
     in_large = scratch.write(large.groupBy("gid").agg(F.count(F.lit(1)).alias("large")), "in-large")
