@@ -147,6 +147,11 @@ def infer(docs: DataFrame, most_values: int = 10, every: Iterable[str] = ()) ->
     return InferredSchema(fields, dropped)
 
 
+def prevalence(docs: DataFrame) -> DataFrame:
+    """(field, files): how many documents have each key at the top."""
+    return docs.select(F.explode(F.json_object_keys("data")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("files"))
+
+
 def categories(found: InferredField, most: int = 10, repetition: int = 3) -> list[Any] | None:
     """The values of a field that looks categorical, sorted; else None."""
     if found.type not in CATEGORICAL or not 0 < found.n_distinct <= most or found.occurrences // found.n_distinct < repetition:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine import vault_queries
 from vellumine.functions.globs import path_in
 from vellumine.functions.text import content_hash, wikilinks_stripped
 from vellumine.functions.where import Names, compile_where
@@ -296,25 +297,13 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(both, 20).select(F.col("chunk_id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
-def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("lang").alias("files"))
-
-
-def removed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk counts of files that are gone: conversations whose user spoke one turn only."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), "turn", "role")
-    gone = turns.where("role = 'user'").groupBy("file_id").count().where("count <= 1").select("file_id")
-    return turns.join(gone, "file_id", "left_semi").groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
-
-
 def queries() -> dict[str, Query]:
-    plain = [leaf_flatten_props, field_types_widened, field_presence_by_dir, path_globs, field_distinct_occurrence, categorical_fields, range_bounds, violation_report, null_and_pattern, new_fields_anti, content_hash_dedupe, classify_incremental, wikilink_strip, glob_match, chunk_documents, denormalise_index, cosine_topk, semantic_filtered, best_chunk_per_file, bm25_topk, rrf_hybrid, index_stats, removed_chunks]
+    plain = [leaf_flatten_props, field_types_widened, field_presence_by_dir, path_globs, field_distinct_occurrence, categorical_fields, range_bounds, violation_report, null_and_pattern, new_fields_anti, content_hash_dedupe, classify_incremental, wikilink_strip, glob_match, chunk_documents, denormalise_index, cosine_topk, semantic_filtered, best_chunk_per_file, bm25_topk, rrf_hybrid]
     found: dict[str, Query] = {x.__name__: x for x in plain}
     found |= {"violations_all": _violations(), "missing_required": _violations("MissingRequired"), "wrong_type": _violations("WrongType"), "disallowed": _violations("Disallowed"), "invalid_category": _violations("InvalidCategory"), "out_of_range": _violations("OutOfRange"), "length_violation": _violations("OutOfRange", "source")}
     found |= {name: _filtered(_orders, clause, _ORDER_FIELDS) for name, (clause, _) in WHERE_ORDERS.items()}
     found |= {name: _filtered(_tagged, clause, _DOC_FIELDS) for name, (clause, _) in WHERE_TAGS.items()}
-    return found
+    return found | vault_queries.queries()
 
 
 _TERMS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -325,11 +314,23 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 b AS (SELECT doc_id, sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * p.length / n.length))) AS score FROM p JOIN f USING (term), n GROUP BY doc_id)"""
 
 
+#: The tree has two levels, so a directory's state is spelled for each: all files, those of a source, those of a source and language.
+_GLOBS_SQL = """, g AS (SELECT dir, source, count(*) AS files FROM c GROUP BY dir, source),
+h AS (SELECT k.field, g.dir, g.source, count(l.path) > 0 AS ever, count(l.path) = max(g.files) AS always FROM g CROSS JOIN (SELECT DISTINCT field FROM leaves) k LEFT JOIN leaves l ON l.dir = g.dir AND l.field = k.field GROUP BY ALL),
+s AS (SELECT field, source, bool_and(ever) AS ever, bool_and(always) AS always FROM h GROUP BY ALL),
+r AS (SELECT field, bool_and(ever) AS ever, bool_and(always) AS always FROM s GROUP BY ALL),
+x AS (SELECT field, '**' AS place, FALSE AS due FROM r WHERE ever UNION ALL SELECT field, '**', TRUE FROM r WHERE always
+UNION ALL SELECT field, source || '/**', FALSE FROM s JOIN r USING (field) WHERE s.ever AND NOT r.ever UNION ALL SELECT field, source || '/**', TRUE FROM s JOIN r USING (field) WHERE s.always AND NOT r.always
+UNION ALL SELECT field, dir || '/**', FALSE FROM h JOIN s USING (field, source) WHERE h.ever AND NOT s.ever UNION ALL SELECT field, dir || '/**', TRUE FROM h JOIN s USING (field, source) WHERE h.always AND NOT s.always)
+SELECT field, '[' || coalesce(string_agg('"' || place || '"', ',' ORDER BY place) FILTER (NOT due), '') || ']' AS allowed, '[' || coalesce(string_agg('"' || place || '"', ',' ORDER BY place) FILTER (due), '') || ']' AS required FROM x GROUP BY field"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "leaf_flatten_props": "SELECT CAST(event_id AS VARCHAR) AS path, 'k' AS field, 'Integer' AS type, json_extract_string(props, '$.k') AS value FROM events",
         "field_types_widened": _leaves_sql("SELECT field, max(type) AS type, FALSE AS nullable, count(DISTINCT path) AS files FROM leaves GROUP BY field"),
         "field_presence_by_dir": _leaves_sql(", f AS (SELECT dir, count(*) AS files FROM c GROUP BY dir) SELECT dir, field, count(*) AS having, max(files) AS files FROM leaves JOIN f USING (dir) GROUP BY dir, field"),
+        "path_globs": _leaves_sql(_GLOBS_SQL),
         "field_distinct_occurrence": _leaves_sql("SELECT field, value, count(*) AS occurrences FROM leaves GROUP BY field, value"),
         "categorical_fields": _leaves_sql("SELECT field, '[' || string_agg(value, ',' ORDER BY value) || ']' AS categories FROM (SELECT field, value, count(*) AS n FROM leaves GROUP BY ALL) GROUP BY field HAVING count(*) <= 10 AND sum(n) // count(*) >= 3"),
         "range_bounds": _leaves_sql("SELECT field, min(CAST(value AS DOUBLE)) AS min, max(CAST(value AS DOUBLE)) AS max FROM leaves WHERE type = 'Integer' GROUP BY field"),
@@ -352,10 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "best_chunk_per_file": f"{_VECTOR_SQL} SELECT label, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM s) WHERE place = 1",
         "bm25_topk": f"WITH {_BM25_SQL} SELECT doc_id, round(score, 5) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20",
         "rrf_hybrid": f"{_VECTOR_SQL}, {_BM25_SQL}, r AS (SELECT vec_id AS id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, vec_id)) AS part FROM (SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 30) UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 30)), t AS (SELECT id, sum(part) AS score FROM r GROUP BY id) SELECT id, round(score, 6) AS score FROM t ORDER BY t.score DESC, id LIMIT 20",
-        "index_stats": "SELECT source, count(*) AS chunks, count(DISTINCT lang) AS files FROM documents GROUP BY source",
-        "removed_chunks": "SELECT conv_id AS file_id, count(*) AS chunks FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'user' GROUP BY conv_id HAVING count(*) <= 1) GROUP BY conv_id",
     }
     found |= {name: _violations_sql(f"SELECT * FROM v WHERE kind = '{kind}'") for name, kind in (("missing_required", "MissingRequired"), ("wrong_type", "WrongType"), ("disallowed", "Disallowed"), ("invalid_category", "InvalidCategory"), ("out_of_range", "OutOfRange"))}
     found |= {name: f"SELECT id FROM ({_ORDERS_SQL}) WHERE {condition}" for name, (_, condition) in WHERE_ORDERS.items()}
     found |= {name: f"{_TAGS_SQL} SELECT id FROM t WHERE {condition}" for name, (_, condition) in WHERE_TAGS.items()}
-    return found
+    return found | vault_queries.oracle_sql()

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellumine.operators import report
 from vellumine.operators.embedding import load_embedder
@@ -19,7 +18,7 @@ from vellumine.operators.index import BuildResult, Index, IndexError_
 from vellumine.operators.search import search
 from vellumine.plans import config as cfg
 from vellumine.plans import jsonschema, validation
-from vellumine.plans.inference import infer, value_ranges
+from vellumine.plans.inference import field_types, infer, prevalence, value_ranges
 from vellumine.sources.frontmatter import documents, leaves
 from vellumine.sources.listing import list_files, read_files
 
@@ -204,7 +203,7 @@ class Vault:
         """Declared fields with how many files have each, and the index's state."""
         out, config = Outcome(), self.config()
         docs = self.scan(config.scan)
-        counts = {r.field: r.files for r in leaves(docs).groupBy("field").agg(F.countDistinct("path").alias("files")).collect()}
+        counts = {r.field: r.files for r in field_types(leaves(docs)).collect()} | {r.field: r.files for r in prevalence(docs).collect()}
         built = self.index.metadata() | self.index.stats() if self.index.exists() else None
         out.result = {"files": docs.count(), "fields": [{"field": x.name, "type": x.type, "files": counts.get(x.name, 0), "hints": cfg.name_hints(x.name)} for x in config.fields], "index": built}
         return out
