@@ -101,6 +101,42 @@ def test_violations_stop_a_build(vault, tmp_path, capsys):
     assert "2020-12" in vault.export()
 
 
+def test_command_line(vault, tmp_path, capsys):
+    path = str(tmp_path)
+    run = lambda *args: (main([*args]), capsys.readouterr())
+    assert run("init", path, "--dry-run")[0] == 0 and not (tmp_path / "vault.toml").exists()
+    assert run("--output", "json", "init", path, "--glob", "blog/**")[0] == 0 and vault.config().scan.glob == "blog/**"
+    assert run("init", path)[0] == 2 and run("init", path, "--force")[0] == 0
+    code, said = run("-v", "build", path, "--set-model", "mock-16", "--set-chunk-size", "300", "--force")
+    assert code == 0 and "build" in said.err and "done" in said.err and vault.index.metadata()["dimension"] == 16
+    assert run("build", path, "--set-chunk-size", "400")[0] == 2
+    code, said = run("--output", "json", "search", "wavelength", path, "--mode", "fulltext", "-n", "1", "--no-build")
+    assert code == 0 and [x["filename"] for x in json.loads(said.out)] == ["notes/photonics.md"]
+    assert "read as" in run("search", "book", path, "--where", "tags = 'rust'", "--no-build")[1].out
+    write(tmp_path, "notes/more.md", "---\ntitle: T\nstatus: odd\nrating: 7\ndraft: true\npublished: 2024-01-01\ntags: [a]\nextra: 1\n---\nx")
+    assert run("check", path, "--no-update")[0] == 0
+    assert "extra" in run("update", path, "--dry-run")[1].out and run("update", path, "--reinfer", "rating", "--with", "range")[0] == 0
+    assert {x.name: x.constraints.max for x in vault.config().fields if x.name == "rating"} == {"rating": 7}
+    assert run("update", path, "--reinfer", "nothing")[0] == 2
+    assert run("export-jsonschema", path, "--format", "toml", "--output-file", str(tmp_path / "s.toml"))[0] == 0 and (tmp_path / "s.toml").exists()
+    assert run("check", path, "--jsonschema", str(tmp_path / "s.toml"))[0] in (0, 1) and run("info", path)[0] == 0
+    (tmp_path / "notes" / "odd.md").write_bytes(b"\xff")
+    assert [(r.path, r.reason) for r in vault.check(auto_update=False).result.skipped.collect()] == [("notes/odd.md", "not UTF-8")]
+    assert run("--output", "json", "clean", path)[0] == 0 and not vault.index.exists()
+
+
+def test_cached_revision(tmp_path):
+    from vellumine.operators.embedding import cached_revision
+
+    assert cached_revision("a/b", str(tmp_path)) is None
+    for name in ("one", "two"):
+        (tmp_path / "models--a--b" / "snapshots" / name).mkdir(parents=True)
+    assert cached_revision("a/b", str(tmp_path)) in ("one", "two")
+    (tmp_path / "models--a--b" / "refs").mkdir()
+    (tmp_path / "models--a--b" / "refs" / "main").write_text("one\n")
+    assert cached_revision("a/b", str(tmp_path)) == "one"
+
+
 def rows(spark, **files):
     return documents(spark.createDataFrame([(k.replace("__", "/") + ".md", json.dumps(v) if not isinstance(v, str) else v) for k, v in files.items()], "path string, raw string"))
 

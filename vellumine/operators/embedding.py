@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -48,11 +50,26 @@ class StaticEmbedder:
         return out
 
 
+def hub_folder(model: str, hub: str | None = None) -> Path:
+    """Where a hub's cache keeps a model."""
+    return Path(hub or os.environ.get("HF_HUB_CACHE") or Path.home() / ".cache" / "huggingface" / "hub") / f"models--{model.replace('/', '--')}"
+
+
+def cached_revision(model: str, hub: str | None = None) -> str | None:
+    """The revision of a model that a hub's cache folder holds: the one that its main branch names, else the newest."""
+    folder = hub_folder(model, hub)
+    named = folder / "refs" / "main"
+    held = [x for x in (folder / "snapshots").iterdir() if x.is_dir()] if (folder / "snapshots").is_dir() else []
+    if named.is_file() and (wanted := named.read_text(encoding="utf-8").strip()) in {x.name for x in held}:
+        return wanted
+    return max(held, key=lambda x: (x.stat().st_mtime, x.name)).name if held else None
+
+
 _LOADED: dict[tuple, Embedder] = {}
 
 
 def load_embedder(model: EmbeddingModel) -> Embedder:
-    """``mock`` (its name may end in ``-<dimension>``) or ``static`` (its name is a folder)."""
+    """``mock`` (its name may end in ``-<dimension>``), ``static`` (its name is a folder) or ``hub`` (a model in a hub's cache)."""
     key = (model.provider, model.name, model.revision)
     if key not in _LOADED:
         if model.provider == "mock":
@@ -60,6 +77,11 @@ def load_embedder(model: EmbeddingModel) -> Embedder:
             _LOADED[key] = MockEmbedder(int(tail) if tail.isdigit() else 64)
         elif model.provider == "static":
             _LOADED[key] = StaticEmbedder(model.name)
+        elif model.provider == "hub":
+            revision = model.revision or cached_revision(model.name)
+            if revision is None:
+                raise ValueError(f"no revision of '{model.name}' is cached")
+            _LOADED[key] = StaticEmbedder(str(hub_folder(model.name) / "snapshots" / revision))
         else:
             raise ValueError(f"unknown embedding provider '{model.provider}'")
     return _LOADED[key]

@@ -19,7 +19,7 @@ from vellumine.operators.search import search
 from vellumine.plans import config as cfg
 from vellumine.plans import jsonschema, validation
 from vellumine.plans.inference import field_types, infer, prevalence, value_ranges
-from vellumine.sources.frontmatter import documents, leaves
+from vellumine.sources.frontmatter import documents, leaves, skipped
 from vellumine.sources.listing import list_files, read_files
 
 INDEX_FOLDER = ".vault"
@@ -63,6 +63,7 @@ class CheckResult:
     violations: DataFrame
     new_fields: DataFrame
     files: int
+    skipped: DataFrame | None = None
 
 
 class Vault:
@@ -70,6 +71,8 @@ class Vault:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, os.path.abspath(root)
+        # settings that meaning depends on, in a session of the vault's own
+        spark = self.spark = spark.newSession()
         for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.caseSensitive", "true")):
             spark.conf.set(key, value)
         self.index = Index(spark, f"file://{self.root}/{INDEX_FOLDER}")
@@ -87,6 +90,11 @@ class Vault:
         paths = list_files(self.root, scan.glob, scan.skip_gitignore)
         return documents(read_files(self.spark, self.root, paths), scan.frontmatter_format, scan.include_bare_files)
 
+    def skipped(self, scan: cfg.Scan) -> DataFrame:
+        """(path, reason) of files that a scan leaves out."""
+        paths = list_files(self.root, scan.glob, scan.skip_gitignore)
+        return skipped(read_files(self.spark, self.root, paths), scan.frontmatter_format)
+
     def init(self, scan: cfg.Scan | None = None, force: bool = False, dry_run: bool = False, schema: str | None = None) -> Outcome:
         """Infer a configuration, or take it from a JSON Schema, and write it."""
         if not os.path.isdir(self.root):
@@ -132,7 +140,7 @@ class Vault:
                 if cfg.add_new_fields(config, infer(docs)):
                     cfg.write_config(config, self.config_path)
         with out.step("validate"):
-            out.result = CheckResult(validation.violations(docs, config), validation.new_fields(docs, config), files)
+            out.result = CheckResult(validation.violations(docs, config), validation.new_fields(docs, config), files, self.skipped(config.scan))
         return out
 
     def update(self, reinfer: list[str] | None = None, everything: bool = False, constraints: str | None = "categorical", dry_run: bool = False) -> Outcome:
@@ -179,11 +187,11 @@ class Vault:
         docs.unpersist()
         return out
 
-    def search(self, text: str, mode: str = "hybrid", where: str | None = None, limit: int | None = None, auto_build: bool | None = None, overfetch: int | None = 3) -> Outcome:
+    def search(self, text: str, mode: str = "hybrid", where: str | None = None, limit: int | None = None, auto_build: bool | None = None, overfetch: int | None = 3, auto_update: bool | None = None) -> Outcome:
         out, config = Outcome(), self.config()
         settings = config.search or cfg.Search()
         if settings.auto_build if auto_build is None else auto_build:
-            out.steps += self.build(auto_update=settings.auto_update).steps
+            out.steps += self.build(auto_update=settings.auto_update if auto_update is None else auto_update).steps
         if not self.index.exists():
             raise VaultError("no index: build it first")
         model = config.embedding_model or cfg.EmbeddingModel()
@@ -219,53 +227,96 @@ class Vault:
         return text
 
 
-def main(args: list[str] | None = None) -> int:
-    """The command line; 1 for violations, 2 for failures."""
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="vellumine")
-    parser.add_argument("--output", choices=report.FORMS, default="pretty")
+    parser.add_argument("--output", choices=report.FORMS, help="form of results (default: the configuration's, or pretty)")
+    parser.add_argument("-v", "--verbose", action="store_true", help="list files, and what each step took")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("init", "check", "update", "build", "search", "info", "clean", "export-jsonschema"):
-        own = sub.add_parser(name)
+
+    def command(name: str, *options: str, **more: Any) -> argparse.ArgumentParser:
+        own = sub.add_parser(name, **more)
         if name == "search":
             own.add_argument("query")
-            own.add_argument("--mode", default="hybrid")
-            own.add_argument("--where")
-            own.add_argument("--limit", type=int)
         own.add_argument("path", nargs="?", default=".")
-        own.add_argument("--force", action="store_true")
-        own.add_argument("--verbose", action="store_true")
-        own.add_argument("--jsonschema")
-        own.add_argument("--format", default="json")
-        own.add_argument("--reinfer", nargs="*")
-    given = parser.parse_args(args)
+        for x in options:
+            own.add_argument(f"--{x}", action="store_true")
+        return own
+
+    own = command("init", "force", "dry-run", "ignore-bare-files", "skip-gitignore")
+    own.add_argument("--glob", default="**")
+    own.add_argument("--from-jsonschema")
+    command("check", "no-update").add_argument("--jsonschema")
+    own = command("update", "dry-run")
+    own.add_argument("--reinfer", nargs="*", metavar="FIELD", help="infer these fields anew, or all")
+    own.add_argument("--with", dest="constraints", choices=("categories", "categorical", "range", "none"), default="categorical")
+    own = command("build", "force", "no-update")
+    own.add_argument("--set-model")
+    own.add_argument("--set-provider")
+    own.add_argument("--set-revision")
+    own.add_argument("--set-chunk-size", type=int)
+    own = command("search", "no-update", "no-build")
+    own.add_argument("--mode", default="hybrid", choices=("semantic", "fulltext", "hybrid"))
+    own.add_argument("--where")
+    own.add_argument("-n", "--limit", type=int)
+    command("info")
+    command("clean")
+    own = command("export-jsonschema")
+    own.add_argument("--format", default="json", choices=("json", "toml"))
+    own.add_argument("--output-file")
+    return parser
+
+
+def _run(vault: Vault, given: argparse.Namespace, form: str) -> tuple[int, Outcome, str]:
+    """(exit code, outcome, text) of a command."""
+    if given.command == "init":
+        scan = cfg.Scan(given.glob, not given.ignore_bare_files, given.skip_gitignore)
+        out = vault.init(scan, given.force, given.dry_run, given.from_jsonschema)
+        rows = [{"field": x.name, "type": x.type, "nullable": x.nullable} for x in out.result["config"].fields]
+        return DONE, out, "\n".join([report.table(rows, ["field", "type", "nullable"], form), *(() if form == "json" else (f"warning: {x}" for x in out.result["warnings"]))])
+    if given.command == "check":
+        out = vault.check(False if given.no_update else None, given.jsonschema)
+        groups = validation.report(out.result.violations).collect()
+        return FOUND_VIOLATIONS if groups else DONE, out, report.violations_text(groups, form, given.verbose)
+    if given.command == "update":
+        constraints = {"none": None}.get(given.constraints, given.constraints)
+        out = vault.update(given.reinfer or None, given.reinfer == [], constraints, given.dry_run)
+        rows = [{"field": x, "change": kind} for kind in ("added", "changed", "removed") for x in out.result[kind]]
+        return DONE, out, report.table(rows, ["field", "change"], form)
+    if given.command == "build":
+        model = None
+        if given.set_model or given.set_provider or given.set_revision:
+            held = vault.config().embedding_model or cfg.EmbeddingModel()
+            model = cfg.EmbeddingModel(given.set_provider or held.provider, given.set_model or held.name, given.set_revision or held.revision)
+        out = vault.build(given.force, False if given.no_update else None, model, given.set_chunk_size)
+        return DONE, out, report.table([out.result.__dict__], list(out.result.__dict__), form)
+    if given.command == "search":
+        out = vault.search(given.query, given.mode, given.where, given.limit, False if given.no_build else None, auto_update=False if given.no_update else None)
+        notes = [] if form == "json" else [f"read as: {after}" for _, after in out.result["notes"]]
+        return DONE, out, "\n".join([*notes, report.table(out.result["hits"].collect(), out.result["hits"].columns, form)])
+    if given.command == "info":
+        out = vault.info()
+        return DONE, out, report.table(out.result["fields"], ["field", "type", "files"], form)
+    if given.command == "clean":
+        out = vault.clean()
+        return DONE, out, report.table([out.result], ["files", "bytes"], form)
+    return DONE, Outcome(), vault.export(given.format, given.output_file) if given.output_file is None else f"written to {given.output_file}" if vault.export(given.format, given.output_file) else ""
+
+
+def main(args: list[str] | None = None) -> int:
+    """The command line; 1 for violations, 2 for failures."""
+    given = _parser().parse_args(args)
     spark = SparkSession.builder.appName("vellumine").getOrCreate()
     vault = Vault(spark, given.path)
     try:
-        if given.command == "init":
-            done = vault.init(force=given.force, schema=given.jsonschema).result
-            print(report.table([{"field": x.name, "type": x.type, "nullable": x.nullable} for x in done["config"].fields], ["field", "type", "nullable"], given.output))
-        elif given.command == "check":
-            groups = validation.report(vault.check(schema=given.jsonschema).result.violations).collect()
-            print(report.violations_text(groups, given.output, given.verbose))
-            return FOUND_VIOLATIONS if groups else DONE
-        elif given.command == "update":
-            print(vault.update(given.reinfer, everything=given.reinfer == []).result)
-        elif given.command == "build":
-            found: BuildResult = vault.build(given.force).result
-            print(report.table([found.__dict__], list(found.__dict__), given.output))
-        elif given.command == "search":
-            found = vault.search(given.query, given.mode, given.where, given.limit).result
-            print(report.table(found["hits"].collect(), found["hits"].columns, given.output))
-        elif given.command == "info":
-            print(report.table(vault.info().result["fields"], ["field", "type", "files"], given.output))
-        elif given.command == "clean":
-            print(vault.clean().result)
-        else:
-            print(vault.export(given.format))
+        form = given.output or (vault.config().default_output_format if os.path.exists(vault.config_path) else None) or "pretty"
+        code, out, text = _run(vault, given, form)
     except (VaultError, IndexError_, ValueError) as error:
         print(f"error: {error}", file=sys.stderr)
         return FAILED
-    return DONE
+    print(text)
+    if given.verbose and out.steps:
+        print(report.steps_text(out.steps, form), file=sys.stderr)
+    return code
 
 
 if __name__ == "__main__":
