@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumine.llm.common import arrow_type, small_batches, text_input
-from vellumine.llm.vocabulary import CACHE_UNITS, UNIT_CHARS, word_units
+from vellumine.llm.vocabulary import CACHE_UNITS, UNIT_CHARS, collect_less, word_units
 
 SCAN_PARTS = 48
+#: Marks that no pattern joins to the letters before them.
+MARKS = (".", ",", ";", ":", "!", "?")
 _NONE = np.int64(1 << 40)
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _KEPT: dict[str, "WordBpe"] = {}
@@ -69,6 +71,9 @@ class WordBpe:
         letters = byte_alphabet()
         self.inner = np.array([self.vocabulary[x] for x in letters], np.int64)
         self.last = np.array([self.vocabulary[x + self.end] for x in letters], np.int64)
+        self.shown = [str(i) for i in range(self.size)]
+        self.spelled = [self.tokens.get(i, "") for i in range(self.size)]
+        self.marks = {x: self._entry(ids) for x, ids in zip(MARKS, self.units(list(MARKS)), strict=True)}
         self.cache: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
 
@@ -77,10 +82,10 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank[at], _NONE)
 
-    def _scan(self, parts: np.ndarray) -> list[np.ndarray]:
+    def _scan(self, parts: np.ndarray) -> list[list[int]]:
         """Ids of words that have the same number of parts, a word a row."""
         rows, width = parts.shape
-        done: list[np.ndarray | None] = [None] * rows
+        done: list[list[int]] = [[]] * rows
         alive = np.arange(rows)
         ranks = self._ranks(parts[:, :-1], parts[:, 1:])
         while len(alive):
@@ -88,7 +93,7 @@ class WordBpe:
             least = ranks[np.arange(len(alive)), at] if ranks.shape[1] else np.full(len(alive), _NONE)
             over = least == _NONE
             if over.any():
-                for i, x in zip(alive[over], parts[over], strict=True):
+                for i, x in zip(alive[over].tolist(), parts[over].tolist(), strict=True):
                     done[i] = x
                 keep = ~over
                 alive, parts, ranks, at, least = alive[keep], parts[keep], ranks[keep], at[keep], least[keep]
@@ -137,9 +142,19 @@ class WordBpe:
             parts[:, -1] = self.last[raw[:, -1]]
             found = self._scan(parts) if length <= SCAN_PARTS else map(self._heap, parts.tolist())
             for i, x in zip(own, found, strict=True):
-                out[i] = x.tolist() if isinstance(x, np.ndarray) else x
+                out[i] = x
         return out
 
+    def split(self, text: str) -> list[str]:
+        """A text's units, in lower case already where that can't change what else is done."""
+        if "<" not in text:
+            try:
+                text.encode("latin-1")
+                return word_units(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return word_units(text)
+
     def matches(self, text: str) -> list[bytes]:
         """A unit's matches of the pattern, normalised, in UTF-8.
 
@@ -175,18 +190,39 @@ class WordBpe:
         """The tokens joined by spaces, as the vocabulary names no decoder."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
+    def _entry(self, ids: list[int]) -> tuple[str, int, str]:
+        shown, spelled = self.shown, self.spelled
+        return " ".join([shown[i] for i in ids]), len(ids), " ".join([spelled[i] for i in ids])
+
     def learn(self, units: set[str]) -> None:
-        """Put units' ids, their number and their decoded form into the cache."""
+        """Put units' ids, their number and their decoded form into the cache.
+
+        A unit of ASCII letters is one match of the pattern, and one with a mark
+        behind them two; others are cut by it.
+        """
+        cache, marks = self.cache, self.marks
         known = units & self.old.keys()
-        self.cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        new = list(units - self.cache.keys())
-        if new:
-            for unit, ids in zip(new, self.units(new), strict=True):
-                self.cache[unit] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        new = units - cache.keys()
+        marked = [x for x in new if x[-1] in marks and x.isascii() and x[:-1].isalpha()]
+        need = new.difference(marked)
+        need.update({x[:-1] for x in marked} - cache.keys())
+        words, others = [], []
+        for x in need:
+            (words if x.isascii() and x.isalpha() else others).append(x)
+        entry = self._entry
+        for x, ids in zip(words, self.words([x.lower().encode() for x in words]), strict=True):
+            cache[x] = entry(ids)
+        for x, ids in zip(others, self.units(others), strict=True):
+            cache[x] = entry(ids)
+        for x in marked:
+            (ids, n, back), (mark_ids, m, mark_back) = cache[x[:-1]], marks[x[-1]]
+            cache[x] = (f"{ids} {mark_ids}", n + m, f"{back} {mark_back}")
 
 
 def bpe_of(path: str) -> WordBpe:
     if path not in _KEPT:
+        collect_less()
         _KEPT[path] = WordBpe(path)
     return _KEPT[path]
 
@@ -208,7 +244,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe_of(vocabulary)
         for batch in batches:
-            texts = [word_units(x or "") for x in batch.column("text").to_pylist()]
+            texts = [model.split(x or "") for x in batch.column("text").to_pylist()]
             if len(model.cache) > CACHE_UNITS:
                 model.old, model.cache = model.cache, {}
             model.learn(set().union(*texts))
