@@ -56,17 +56,18 @@ def main() -> None:
     folder = tempfile.mkdtemp(prefix="vellumine-bench-")
     try:
         config = Config(fields=[Field("lang"), Field("source"), Field("n_chars", "Integer"), Field("quality", "Integer"), Field("toxic", "Integer")])
-        docs = queries.corpus(spark, SF_DIR).cache()
-        docs.count()
+        docs = queries.corpus(spark, SF_DIR, body=True).cache()
+        documents = docs.count()
         index = Index(spark, f"file://{folder}/index")
         timed("index_build_full", lambda: index.build(docs, config, force=True))
         timed("index_build_unchanged", lambda: index.build(docs, config))
         query = load_embedder(EmbeddingModel()).encode(["the license of this"])[0].tolist()
         for name, mode, where in (("search_semantic", "semantic", None), ("search_fulltext", "fulltext", None), ("search_hybrid_filtered", "hybrid", "lang = 'en' AND quality = 1"), ("search_hybrid", "hybrid", None)):
             timed(name, lambda m=mode, w=where: search(index, "the license of this", m, w, 10, query)[0].collect())
+        chunks = index.metadata()["chunks"]
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    print(json.dumps({"metric": "sum of warm query times", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "sum of warm query times", "value": round(sum(times.values()), 4), "unit": "sec", "queries": times, "documents": documents, "chunks": chunks, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 
