@@ -35,6 +35,35 @@ def test_cached_encoding_is_the_library_s(texts):
         assert encoder.ids(texts) == [np.array(ids(path, x), "<u4").tobytes() for x in texts]
 
 
+class Watched:
+    """The library's tokenizer, which notes the texts it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode_batch_fast(self, texts, **given):
+        self.seen += texts
+        return self.tokenizer.encode_batch_fast(texts, **given)
+
+
+@pytest.mark.parametrize(("kind", "path"), [(ByteEncoder, BYTES), (WordEncoder, WORDS)])
+def test_letters_and_marks_need_no_pattern(kind, path):
+    """Words, also with runs of marks behind them, go to the model without the library's other rules."""
+    text = ". one Naïve straße two!!! QX$$$ École,*** end. again.%%% again"
+    encoder = kind(path)
+    encoder.library = Watched(encoder.library)
+    assert encoder.ids([text]) == [np.array(ids(path, text), "<u4").tobytes()]
+    assert not [x for x in encoder.library.seen if any(map(str.isalpha, x))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.builds(str.__add__, st.text("abeESÉßz", min_size=1, max_size=5), st.text(".,;:!?$%&*#@+=-/()[]{}\"'<|_1", max_size=4)), max_size=12))
+def test_marks_behind_words(words):
+    for path, encoder in encoders.items():
+        for text in (" ".join(words), "\n".join(words)):
+            assert encoder.ids([text]) == [np.array(ids(path, text), "<u4").tobytes()]
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
 def test_rank_arrays_encode_and_decode_as_the_library(text):

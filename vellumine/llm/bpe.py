@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vellumine.llm.common import arrow_type, small_batches, text_input
-from vellumine.llm.vocabulary import CACHE_UNITS, UNIT_CHARS, collect_less, word_units
+from vellumine.llm.vocabulary import CACHE_UNITS, UNIT_CHARS, byte_alphabet, collect_less, word_units
 
 SCAN_PARTS = 48
 #: Marks that no pattern joins to the letters before them.
@@ -33,13 +33,6 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _KEPT: dict[str, "WordBpe"] = {}
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = iter(range(256, 512))
-    return [chr(x) if x in shown else chr(next(hidden)) for x in range(256)]
-
-
 class WordBpe:
     """A vocabulary with word ends: lower case, white space dropped."""
 

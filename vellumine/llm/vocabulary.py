@@ -22,16 +22,28 @@ CACHE_UNITS = 200_000
 UNIT_CHARS = 64
 
 _KEPT: dict[tuple[str, str], "Encoder"] = {}
-#: Letters whose class every Unicode version agrees on, and marks that no
-#: pattern joins to them.
+#: Letters whose class every Unicode version agrees on, and marks: a run of them
+#: is a match of its own behind letters, and in no special token.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = (".", ",", ";", ":", "!", "?")
+_MARKS = ".,;:!?$%&*#@+=-/()[]{}\""
 _AT_ONCE = 500
+#: Words that show whether a vocabulary's rules leave words of letters as they are.
+_PROBE = ("a", "The", "Unbelievably", "xqzvk", "naïve", "Über", "straße", "ÀÉÿ", "of", "internationalisation")
 #: Characters that Python, but not Unicode, counts as white space.
 PYTHON_ONLY_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(x) if x in shown else chr(next(hidden)) for x in range(256)]
+
+
+_SHOWN = {x: y for x, y in enumerate(byte_alphabet()) if x != 32}
+
+
 def word_units(text: str) -> list[str]:
     """What stands between white space as Unicode defines it."""
     if any(x in text for x in PYTHON_ONLY_SPACE):
@@ -48,33 +60,46 @@ class Encoder:
     first_mark = last_mark = ""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.cache: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
-        self.marks = dict(zip(_MARKS, self.direct(_MARKS), strict=True))
+        self.runs: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith(self.first_mark) and token.endswith(self.last_mark)
+        # the same model, to which words go that no other rule changes
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        given = [" " + x for x in _PROBE]
+        self.is_plain = self.direct(given) == [array("I", self.bare.encode(self.shown(x), add_special_tokens=False).ids).tobytes() for x in given]
+
+    def shown(self, text: str) -> str:
+        """Words of ``_LETTERS``, a space before each, as the model itself spells them."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(_SHOWN)
+        return text.replace(" ", " " + self.first_mark)
 
     def direct(self, texts: Iterable[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def letters(self, words: list[str]) -> list[bytes]:
+    def letters(self, words: list[str], plain: bool = False) -> list[bytes]:
         """Ids of words of letters only, many in one call.
 
         A word of letters is one match of the pattern, so its tokens are told
         from its neighbours' by the edge they show. Should the edges not add up,
-        the words are encoded one by one.
+        the words are encoded one by one. ``plain`` words, of ``_LETTERS`` only,
+        are spelled here and go to the model past the library's other rules.
         """
+        library, spell = (self.bare, self.shown) if plain else (self.library, str)
         out: list[bytes] = []
         for i in range(0, len(words), _AT_ONCE):
             own = words[i : i + _AT_ONCE]
-            ids = self.library.encode_batch_fast([" " + " ".join(own)], add_special_tokens=False)[0].ids
+            ids = library.encode_batch_fast([spell(" " + " ".join(own))], add_special_tokens=False)[0].ids
             raw = array("I", ids).tobytes()
             at = np.flatnonzero(self.edge[np.frombuffer(raw, np.uint32)])
             if len(at) != len(own):
@@ -94,30 +119,38 @@ class Encoder:
 
     def learn(self, keys: set[str]) -> set[str]:
         """Have ids of all keys in the cache; returns those that were new."""
-        cache, marks = self.cache, self.marks
+        cache, runs = self.cache, self.runs
         new = keys - cache.keys()
         known = new & self.old.keys()
         cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
         new -= known
-        marked = [x for x in new if x[-1:] in marks and (x[:-1].isalpha() if x.isascii() else _LETTERS.fullmatch(x, 0, len(x) - 1))]
-        need = new.difference(marked)
-        need.update({x[:-1] for x in marked} - cache.keys())
-        words, others = [], []
+        marked = [(x, y) for x in new if len(y := x.rstrip(_MARKS)) < len(x) <= UNIT_CHARS and (y.isalpha() if y.isascii() else _LETTERS.fullmatch(y))]
+        unseen = {x[len(y) :] for x, y in marked} - runs.keys()
+        runs.update(zip(unseen, self.direct(unseen), strict=True))
+        need = new.difference([x for x, _ in marked])
+        need.update({y for _, y in marked} - cache.keys())
+        plain, accented, words, others = [], [], [], []
         for x in need:
-            (words if x.isalpha() else others).append(x)
-        cache.update(zip(words, self.letters(words), strict=True))
+            if x.isascii():
+                (plain if x.isalpha() else others).append(x)
+            elif _LETTERS.fullmatch(x):
+                accented.append(x)
+            else:
+                (words if x.isalpha() else others).append(x)
+        for own, bare in ((plain, self.is_plain), (accented, self.is_plain), (words, False)):
+            cache.update(zip(own, self.letters(own, bare), strict=True))
         rest = {x: self.spelled(x) for x in others}
-        plain = [x for x, y in rest.items() if y is not None]
+        own = [x for x, y in rest.items() if y is not None]
         cache.update(dict.fromkeys(rest))
-        cache.update(zip(plain, self.direct(rest[x] for x in plain), strict=True))
-        for x in marked:
-            cache[x] = cache[x[:-1]] + marks[x[-1]]
+        cache.update(zip(own, self.direct(rest[x] for x in own), strict=True))
+        for x, y in marked:
+            cache[x] = cache[y] + runs[x[len(y) :]]
         return new
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(x) for x in texts]
         if len(self.cache) > self.most:
-            self.old, self.cache = self.cache, {}
+            self.old, self.cache, self.runs = self.cache, {}, {}
         new = self.learn(set().union(*cut))
         get, out, whole = self.cache.__getitem__, [], []
         for i, x in enumerate(cut):
@@ -139,6 +172,9 @@ class WordEncoder(Encoder):
 
     last_mark = "</w>"
 
+    def shown(self, text: str) -> str:
+        return super().shown(text.lower())
+
     def cut(self, text: str) -> list[str]:
         """Words, in lower case already where that can't change what else is done."""
         if "<|" not in text:
