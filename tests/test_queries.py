@@ -73,6 +73,16 @@ def test_files_without_chunks_count(spark, tmp_path):
     pd.testing.assert_frame_equal(plain(found), plain(con.execute(SQL["denormalise_index"]).df()))
 
 
+CODE = ["one  \n\n      two   words  \n\n        three \n\nfour", "a\n\n    **** x", " \n", "word\n \n\t\t....... end\n"]
+
+
+@pytest.mark.parametrize("name", ["index_rows"])
+def test_indented_lines_are_stripped_as_others(spark, tmp_path, name):
+    con = odd_texts(spark, tmp_path, CODE)
+    found = QUERIES[name](spark, str(tmp_path)).toPandas()
+    pd.testing.assert_frame_equal(plain(found), plain(con.execute(SQL[name]).df()))
+
+
 def test_entry_imports_without_the_optional_part(spark):
     import __spark_entry__ as entry
 
