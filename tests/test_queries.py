@@ -76,7 +76,7 @@ def test_files_without_chunks_count(spark, tmp_path):
 CODE = ["one  \n\n      two   words  \n\n        three \n\nfour", "a\n\n    **** x", " \n", "word\n \n\t\t....... end\n"]
 
 
-@pytest.mark.parametrize("name", ["index_rows"])
+@pytest.mark.parametrize("name", ["index_rows", "index_incremental"])
 def test_indented_lines_are_stripped_as_others(spark, tmp_path, name):
     con = odd_texts(spark, tmp_path, CODE)
     found = QUERIES[name](spark, str(tmp_path)).toPandas()
