@@ -5,7 +5,7 @@ import pytest
 
 from vellumine.plans import config as cfg
 from vellumine.plans import jsonschema
-from vellumine.plans.inference import categories, infer, preprocess_for, value_ranges
+from vellumine.plans.inference import categories, infer, inferred_globs, preprocess_for, value_ranges
 from vellumine.plans.paths import directory_counts, field_globs
 from vellumine.sources.frontmatter import documents, leaves
 
@@ -64,6 +64,24 @@ def test_globs_of_deep_trees(spark):
         assert globs(spark, files) == walked(files)
 
 
+def test_globs_take_little_memory_of_a_task(spark):
+    docs = vault(spark, {f"d{i % 7}/e{i % 3}/{i}.md": {"a": 1} | ({"b": 2} if i % 7 else {}) for i in range(60)}).cache()
+    docs.count()
+    tracker, group = spark.sparkContext.statusTracker(), "globs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = inferred_globs(docs)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        docs.unpersist()
+    assert found["a"] == (["**"], ["**"]) and found["b"] == ([f"d{i}/**" for i in range(1, 7)],) * 2
+    stages = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+    context = spark.sparkContext
+    listed = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    peaks = [x.peakExecutionMemory() / max(1, x.numCompleteTasks()) for x in (listed.apply(i) for i in range(listed.size())) if x.stageId() in stages]
+    assert 0 < max(peaks) < 100_000_000
+
+
 def test_values_and_types(spark):
     files = {f"a/{i}.md": {"status": s, "items": v, "funding": f, "gone": None, "deep": {"x": i}} for i, (s, v, f) in enumerate([("draft", [1, 2], "internal"), ("draft", [1, 2], ["internal"]), ("done", [4.5], "internal"), ("done", [], ["internal"]), ("done", [1], "internal"), ("done", [1], ["internal"])])}
     files["a/bare.md"] = "no frontmatter"
