@@ -104,3 +104,30 @@ def test_toml_errors():
     with pytest.raises(codec.CodecError, match="/a/0"):
         codec.from_toml("a = [nan]")
     assert codec.from_toml("d = 2024-01-15\nt = 2024-01-15T10:00:00Z") == {"d": "2024-01-15", "t": "2024-01-15T10:00:00Z"}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from vellumine import queries, vault_queries
+    from vellumine.operators.index import embed_chunks, file_rows, metadata_structs, posting_rows
+    from vellumine.plans.config import EmbeddingModel
+    from vellumine.sources.frontmatter import documents
+    from tests.conftest import DATA
+
+    docs = documents(spark.createDataFrame([(f"{i}.md", "text") for i in range(2500)], "path string, raw string").coalesce(1))
+    files = docs.selectExpr("*", "cast(null as string) as file_id")
+    rows, key = docs.selectExpr("path as chunk_id", "content as chunk_text"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    steps = [lambda: documents(docs.selectExpr("path", "content as raw")), lambda: embed_chunks(files, EmbeddingModel("mock", "mock-8"), 100), lambda: file_rows(docs), lambda: metadata_structs(docs, {"a": "String"}), lambda: posting_rows(rows, 1)]
+    steps += [lambda f=f: f(spark, DATA) for f in (queries.chunk_documents, vault_queries.visible_text, vault_queries.chunk_lines)]
+    for step in steps:
+        spark.conf.set(key, "10000")
+        step()
+        assert int(spark.conf.get(key)) <= 1000
+    sizes = docs.select("path").mapInArrow(lambda batches: (x.from_pydict({"n": [x.num_rows]}) for x in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= 1000
+
+
+def test_terms_of_ascii_are_those_of_any_text():
+    from vellumine.functions.text import _TERM, text_terms
+
+    for text in ("", "a_b c-D 9\x1c\x00e", "".join(map(chr, range(128))), "É a_B ß"):
+        assert text_terms(text) == _TERM.findall(text.lower())

@@ -7,7 +7,6 @@ costs a reread, never a wrong or missing row.
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumine.functions.batches import small_batches  # noqa: F401  operators take it from here
+
 #: Rows of one long key that a join side may have to be broadcast: about 100 MB
 #: in an executor. Beyond it the same join is dealt out by key.
 BROADCAST_ROWS = 1_000_000
 #: Rows of one key that a task of a join may get; a hotter key is dealt out. Rows of
 #: a side up to which such a join broadcasts it instead: a few MB.
 HOT_ROWS, HOT_SIDE = 100_000, 50_000
-#: Rows and bytes that an Arrow batch of texts holds at most (a longer text is one batch).
-TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 1 << 24
 
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -42,18 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches that hold whole texts.
-
-    Plans are lazy, so this is a setting of the session that stays; it is lowered,
-    never raised.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)):
-        given = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key)))
-        if given is None or not 0 < int(given[1]) <= most:
-            spark.conf.set(key, str(most))
-
-
 class Scratch:
     """Tables of one operator run, written as Parquet below the shared folder.
 
