@@ -83,6 +83,14 @@ def test_indented_lines_are_stripped_as_others(spark, tmp_path, name):
     pd.testing.assert_frame_equal(plain(found), plain(con.execute(SQL[name]).df()))
 
 
+def test_texts_are_cut_and_embedded_once(spark):
+    from vellumine import vault_queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace(" not in plan(vault_queries._plain(spark, DATA))
+    assert plan(QUERIES["removed_chunks"](spark, DATA)).count("mapinarrow") <= 2
+
+
 def test_entry_imports_without_the_optional_part(spark):
     import __spark_entry__ as entry
 
